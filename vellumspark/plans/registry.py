@@ -1,4 +1,19 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""All queries of the engine with their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import features_plans, index_plans, search_plans, service_plans, synth_plans
+
+MODULES = (index_plans, search_plans, features_plans, service_plans, synth_plans)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
