@@ -26,14 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, **options) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage at files that outlive executors."""
+def materialize(df: DataFrame, small: bool = False, **options) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage at files that outlive executors.
+
+    After a ``small`` table nothing is worth cleaning up.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/vellum-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vellum_path = path
-    release(spark)
+    if not small:
+        release(spark)
     return out
 
 

@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     if not seen[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        then, now = now, materialize(_small_star(_large_star(now)))
+        then, now = now, materialize(_small_star(_large_star(now)), small=True)
         last, seen = seen, _digest(now)
         discard(then)
         if last == seen:

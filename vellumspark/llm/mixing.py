@@ -23,8 +23,10 @@ from .common import WORD, columns, materialize, table
 CAP = 3
 #: Newton steps at most, and the relative error at which they end.
 NEWTON_STEPS, TOLERANCE = 60, 1e-12
-#: Bins of one refinement of the rounding threshold; two refinements follow the first cut.
-BINS = 256
+#: Bins of the rounding threshold: what a source's last bin holds is about this share of it.
+BINS = 1 << 16
+#: Passes that cut the line: the first over all documents in it, the others over those that still fit.
+FILLS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -49,14 +51,19 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     whole = Window.orderBy("reach").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum(F.col("source_size").cast("double")).over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(rest)
     s = s.withColumn("level", level)
-    s = s.withColumn("m", F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(whole))
+    # The first source that its cap does not bind sets the level.
+    first = F.min(F.when(F.col("level") <= F.col("reach"), F.struct(F.col("place"), F.col("level")))).over(whole)
+    s = s.withColumn("place", F.row_number().over(up)).withColumn("m", first["level"])
     return s.select("source", "source_size", F.least(F.col("most"), F.col("m") * F.col("w")).alias("target"))
 
 
 def entropy_balance(stats: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = NEWTON_STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """``source, lam``: the dual's multipliers. ``stats`` has ``source, prior, mass``: words by prior rate, which is all the dual depends on."""
-    rows = materialize(stats)
-    lam = materialize(targets.select("source", "target", F.lit(0.0).alias("lam"), F.lit(False).alias("ended")))
+    rows = materialize(stats, small=True)
+    # Without caps and with one prior rate the dual's solution is the logarithm of target over mass: the start.
+    mass = rows.groupBy("source").agg(F.sum(F.col("prior") * F.col("mass")).alias("got")).withColumnRenamed("source", "of")
+    start = F.log(F.greatest("target", F.lit(1e-9)) / F.greatest("got", F.lit(1e-9)))
+    lam = targets.join(mass, F.col("of").eqNullSafe(F.col("source"))).select("source", "target", F.when((F.col("target") > 0) & (F.col("got") > 0), start).otherwise(0.0).alias("lam"))
     for _ in range(steps):
         tilted = F.col("prior") * F.exp("lam")
         met = rows.withColumnRenamed("source", "of").join(lam, F.col("of").eqNullSafe(F.col("source")))
@@ -68,16 +75,12 @@ def entropy_balance(stats: DataFrame, targets: DataFrame, cap: float = CAP, step
         ended = (F.abs(gap) <= tolerance * F.greatest(F.lit(1.0), F.col("target"))) | (F.col("slope") <= 0)
         # A step is held to 2 either way: the dual is convex, so the sequence still settles.
         move = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.when(F.col("slope") > 0, F.col("slope")).otherwise(1.0)))
-        lam = materialize(sums.select("source", "target", F.when(ended, F.col("lam")).otherwise(F.col("lam") + move).alias("lam"), ended.alias("ended")))
+        lam = materialize(sums.select("source", "target", F.when(ended, F.col("lam")).otherwise(F.col("lam") + move).alias("lam"), ended.alias("ended")), small=True)
         if not lam.filter("not ended").head(1):
             break
     return lam.select("source", "lam")
 
 
-def _take(rows: DataFrame, key: Column, low: Column, width: Column, bins: int) -> Column:
-    return F.least(F.lit(bins - 1), F.floor((key - low) / width * bins)).cast("int")
-
-
 def mix(docs: DataFrame, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source", prior: str | None = None) -> DataFrame:
     """``doc_id, size, source, source_size, target, rate, copies, taken`` of each document."""
     names = {"doc_id": doc_id, "text": text, "source": source} | ({"prior": prior} if prior else {})
@@ -86,9 +89,9 @@ def mix(docs: DataFrame, cap: int = CAP, doc_id: str = "doc_id", text: str = "te
     rows = materialize(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), prior_rate.alias("prior"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**52)).alias("h")))
     stats = rows.groupBy("source", "prior").agg(F.sum("size").cast("double").alias("mass"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, cap))
+    targets = materialize(source_targets(sizes, cap), small=True)
     lam = entropy_balance(stats, targets, cap)
-    plan = materialize(targets.join(lam.withColumnRenamed("source", "of"), F.col("of").eqNullSafe(F.col("source")), "left").drop("of"))
+    plan = materialize(targets.join(lam.withColumnRenamed("source", "of"), F.col("of").eqNullSafe(F.col("source")), "left").drop("of"), small=True)
     rate = F.least(F.lit(float(cap)), F.col("prior") * F.exp("lam"))
     rated = rows.withColumnRenamed("source", "of").join(plan, F.col("of").eqNullSafe(F.col("source"))).drop("of").withColumn("rate", rate)
     # Rates within rounding of a whole number are that number.
@@ -96,43 +99,52 @@ def mix(docs: DataFrame, cap: int = CAP, doc_id: str = "doc_id", text: str = "te
     rated = rated.withColumn("frac", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
     # A document is in line for one more copy by its hash over its fraction: small fractions wait longer.
     in_line = F.when((F.col("frac") > 1e-9) & (F.col("base") < cap) & (F.col("size") > 0), (F.col("h") + 1) / F.lit(2.0**52) / F.col("frac"))
-    rated = materialize(rated.withColumn("key", in_line))
+    rated = rated.withColumn("key", in_line)
     extra = _thresholds(rated, plan)
     out = rated.withColumnRenamed("source", "of").join(extra, F.col("of").eqNullSafe(F.col("xsource")), "left").withColumnRenamed("of", "source")
-    more = F.when(F.col("key").isNotNull() & ((F.col("key") < F.col("cut")) | ((F.col("key") == F.col("last_key")) & (F.col("doc_id") == F.col("last_id")))), 1).otherwise(0)
+    more = F.when(F.col("key").isNotNull() & (_taken() | ((F.col("key") == F.col("last_key")) & (F.col("doc_id") == F.col("last_id")))), 1).otherwise(0)
     out = out.withColumn("copies", (F.col("base") + more).cast("long"))
     return out.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _taken() -> Column:
+    """Whether a document in line is taken by one of the cuts, each for documents of up to so many words."""
+    out = F.lit(False)
+    for k in range(FILLS):
+        out = out | ((F.col("key") < F.col(f"cut{k}")) & (F.col("size") <= F.col(f"most{k}")))
+    return out
+
+
 def _thresholds(rated: DataFrame, plan: DataFrame) -> DataFrame:
-    """``xsource, cut, last_key, last_id``: documents with a key below ``cut`` get one more copy, and then the one that best fills what is left.
+    """``xsource``, what ``_taken`` needs, ``last_key, last_id``: which documents get one more copy; the last is the one that best fills what is left.
 
-    The keys of a source are cut into bins, sums by bin say in which the target falls, and that bin is cut again; so each
-    pass sends one row a source, bin and task, never a source's documents to one place.
+    The keys of a source are cut into bins, and sums by bin say how far the target reaches: a source sends one row a bin and
+    task at most, never its documents to one place.
     """
     based = rated.groupBy("source").agg(F.sum(F.col("base") * F.col("size")).alias("got"))
-    state = plan.select(F.col("source").alias("xsource"), "target").join(based, F.col("xsource").eqNullSafe(F.col("source")), "left").drop("source")
-    # Keys lie above 0; nearly all below 1 suffice, and the last bin holds the tail up to 2.
-    state = materialize(state.select("xsource", (F.col("target") - F.coalesce("got", F.lit(0))).alias("room"), F.lit(0.0).alias("low"), F.lit(2.0).alias("width")))
+    room = plan.select(F.col("source").alias("xsource"), "target").join(based, F.col("xsource").eqNullSafe(F.col("source")), "left")
+    room = room.select("xsource", (F.col("target") - F.coalesce("got", F.lit(0))).alias("room"))
+    # The target is met near key 1 by design; beyond 2 no bin is cut.
     waiting = rated.filter("key is not null").select(F.col("source").alias("of"), "doc_id", "size", "key")
     met = F.col("of").eqNullSafe(F.col("xsource"))
-    for _ in range(3):
-        inside = waiting.join(state, met).filter("key >= low and key < low + width")
-        bins = inside.withColumn("bin", _take(inside, F.col("key"), F.col("low"), F.col("width"), BINS)).groupBy("xsource", "room", "low", "width", "bin").agg(F.sum("size").alias("words"))
-        run = Window.partitionBy("xsource").orderBy("bin")
-        bins = bins.withColumn("upto", F.sum("words").over(run))
-        # The last bin that still fits, or none.
-        fits = bins.filter("upto <= room").groupBy("xsource").agg(F.max("bin").alias("full"), F.max("upto").alias("used"))
-        nxt = state.join(fits.withColumnRenamed("xsource", "fsource"), F.col("xsource").eqNullSafe(F.col("fsource")), "left")
-        first = F.coalesce(F.col("full") + 1, F.lit(0))
-        state = materialize(
-            nxt.select("xsource", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), (F.col("low") + F.col("width") * first / BINS).alias("low"), (F.col("width") / BINS).alias("width"))
-        )
-    near = waiting.join(state, met).filter("key >= low")
+    state = room.select("xsource", "room", *[F.lit(0.0).alias(f"cut{k}") for k in range(FILLS)], *[F.lit(-1.0).alias(f"most{k}") for k in range(FILLS)])
+    for k in range(FILLS):
+        # First all documents in line; then, behind the cut so far, those that still fit what is left.
+        last = F.lit(0.0) if k == 0 else F.col(f"cut{k - 1}")
+        open_ = waiting.filter("key < 2").join(state, met).filter((F.col("key") >= last) & (F.lit(True) if k == 0 else F.col("size") <= F.col("room")))
+        bins = open_.groupBy("of", F.floor(F.col("key") / 2 * BINS).cast("int").alias("bin")).agg(F.sum("size").alias("words"))
+        upto = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("of").orderBy("bin"))).join(state.select("xsource", "room"), met).filter("upto <= room")
+        full = upto.groupBy("of").agg(F.max("bin").alias("full"), F.max("upto").alias("used"))
+        cut = F.greatest(last, (F.coalesce("full", F.lit(-1)) + 1) * 2 / F.lit(BINS))
+        others = [c for j in range(FILLS) for c in (f"cut{j}", f"most{j}") if j != k]
+        most = F.lit(float("inf")) if k == 0 else F.col("room").cast("double")
+        joined = state.join(full, met, "left").select("xsource", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), cut.alias(f"cut{k}"), most.alias(f"most{k}"), *others)
+        state = materialize(joined, small=True)
     gap = F.abs(F.col("room") - F.col("size"))
-    best = near.filter(gap < F.col("room")).groupBy("xsource").agg(F.min(F.struct(gap.alias("gap"), F.col("key").alias("last_key"), F.col("doc_id").alias("last_id"))).alias("b"))
+    near = waiting.join(state, met).filter(~_taken() & (gap < F.col("room")))
+    best = near.groupBy("xsource").agg(F.min(F.struct(gap.alias("gap"), F.col("key").alias("last_key"), F.col("doc_id").alias("last_id"))).alias("b"))
     out = state.join(best.withColumnRenamed("xsource", "bsource"), F.col("xsource").eqNullSafe(F.col("bsource")), "left")
-    return materialize(out.select("xsource", F.col("low").alias("cut"), F.col("b.last_key").alias("last_key"), F.col("b.last_id").alias("last_id")))
+    return materialize(out.select("xsource", *[c for k in range(FILLS) for c in (f"cut{k}", f"most{k}")], F.col("b.last_key").alias("last_key"), F.col("b.last_id").alias("last_id")), small=True)
 
 
 def expand_copies(docs: DataFrame, cap: int = CAP) -> DataFrame:
