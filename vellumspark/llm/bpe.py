@@ -77,7 +77,10 @@ def boundaries(text: str, find) -> list[int]:
 
 
 def stitch(chunks: Iterable[tuple[int, str]], find) -> Iterator[str]:
-    """The text of ``chunks`` ((start, text) in order, overlapping) in pieces that begin and end at true boundaries."""
+    """The text of ``chunks`` in pieces that begin and end at true boundaries.
+
+    ``chunks`` are (start, text) in order; each overlaps the next by no more than the distance of their starts.
+    """
     carried, base, cuts = "", 0, []
     for start, text in chunks:
         if not cuts:
