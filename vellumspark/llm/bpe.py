@@ -2,7 +2,7 @@
 
 Long texts are cut into chunks that overlap; each chunk is pre-tokenised by itself, in parallel. Pre-tokenisation from a
 boundary depends only on the text after it, so where a chunk and the one before share a boundary inside the
-overlap, away from the cut, both agree from there on: the chunks are stitched at the first such place. The pieces between stitches
+overlap, away from the cut, both agree from there on: the chunks are stitched at the first such place that does not follow white space. The pieces between stitches
 are then encoded, each pre-token by merging the lowest rank first. Decoding concatenates the raw bytes of the ids.
 
 Defined cases: a null text is empty and has no ids; a chunk without a shared boundary (one pre-token longer than the
@@ -71,6 +71,14 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+_SPACE = regex.compile(r"\s")
+
+
+def seams(text: str, cuts: list[int]) -> list[int]:
+    """Those of the boundaries at which a piece may end: white space before one could split otherwise without what follows."""
+    return [b for b in cuts if b and not _SPACE.match(text, b - 1)]
+
+
 def boundaries(text: str, find) -> list[int]:
     """Where the pre-tokens of ``text`` start, and its end."""
     return [m.start() for m in find(text)] + [len(text)]
@@ -88,7 +96,8 @@ def stitch(chunks: Iterable[tuple[int, str]], find) -> Iterator[str]:
             continue
         own = [start + b for b in boundaries(text, find)]
         # The last matches before the cut are unsure; so is the end itself.
-        common = next(iter(sorted(set(cuts[:-UNSURE]).intersection(own[:-UNSURE]))), None)
+        safe = {base + b for b in seams(carried, [c - base for c in cuts[:-UNSURE]])}
+        common = min(safe.intersection(own[:-UNSURE]), default=None)
         if common is None:
             carried = carried[: start - base] + text
             cuts = [base + b for b in boundaries(carried, find)]
@@ -179,7 +188,7 @@ def _pretokenise(pattern: str):
                     sure = boundaries(text, find)
                     sure = sure if last else sure[:-UNSURE]
                     heads.append([start + b for b in sure if b < OVERLAP])
-                    tails.append([start + b for b in sure if b >= CHUNK])
+                    tails.append([start + b for b in seams(text, [b for b in sure if b >= CHUNK])])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=[*part.schema.names, "head", "tail"]
                 )
