@@ -16,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the centroids do not reject; ``lang`` becomes the predicted language."""
     model = language_id.fit(docs.filter(~language_id.held_out()))
-    return language_id.with_language(docs, model).filter(~F.col("lang_rejected")).select(*[F.col("lang_pred").alias("lang") if c == "lang" else docs[c] for c in docs.columns])
+    return language_id.with_language(docs, model).filter(~F.col("lang_rejected")).select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
