@@ -71,7 +71,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     digests = rows.mapInArrow(_digest_batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string, form binary")
     light = materialize(digests.select("doc_id", "fingerprint"))
     twice = materialize(light.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"))
-    shared = digests.join(twice, "fingerprint")
+    # Always dealt by digest, never by a copy of the table in each task: one plan at every size.
+    shared = digests.join(twice.hint("merge"), "fingerprint")
     groups = materialize(shared.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n")))
     # Different forms under one digest are told apart by their bytes; without any, the digest alone finds the group.
     clash = groups.groupBy("fingerprint").count().filter("count > 1").head(1)
