@@ -39,12 +39,9 @@ def synth_fruit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (synth_uniform, synth_queries, synth_zipf, synth_zipf_queries, synth_fruit, synth_fruit_search)}
 
 
-def _u(seed: int, text: str) -> str:
-    return f"({h(str(seed), text)} / 4294967296.0::DOUBLE)"
-
-
 def _word_sql(seed: int, text: str) -> str:
-    return "concat(" + ", ".join(f"chr(CAST(97 + floor(26 * {_u(seed, f'{text} || {chr(39)}:{i}{chr(39)}')}) AS INTEGER))" for i in range(synth.WORD_LENGTH)) + ")"
+    n = h(str(seed), text)
+    return "concat(" + ", ".join(f"chr(CAST(97 + {n} // {26 ** (synth.WORD_LENGTH - 1 - i)} % 26 AS INTEGER))" for i in range(synth.WORD_LENGTH)) + ")"
 
 
 SQL = {

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import seeded_hash
 
 WORD_LENGTH = 5
+#: Digits to the base 26, and the letters that stand for them.
+DIGITS, LETTERS = "0123456789ABCDEFGHIJKLMNOP", "abcdefghijklmnopqrstuvwxyz"
 # The vocabulary of the small test corpus.
 FRUIT = "apple banana cherry date elderberry fig grape honeydew kiwi lemon".split()
 
@@ -18,8 +20,9 @@ def _uniform(seed: int, *parts: Column) -> Column:
 
 
 def _word(seed: int, *parts: Column) -> Column:
-    letters = F.transform(F.sequence(F.lit(0), F.lit(WORD_LENGTH - 1)), lambda i: F.chr((97 + F.floor(26 * _uniform(seed, *parts, i))).cast("int")))
-    return F.array_join(letters, "")
+    """Five letters: the digits of one hash to the base 26."""
+    h = seeded_hash(seed, F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.translate(F.lpad(F.conv((h % 26**WORD_LENGTH).cast("string"), 10, 26), WORD_LENGTH, "0"), DIGITS, LETTERS)
 
 
 def uniform_documents(spark: SparkSession, n: int, length: int = 100, seed: int = 42) -> DataFrame:
