@@ -187,6 +187,13 @@ def test_fingerprints_against_brute_force(spark):
         assert groups[i * 3 + 1] == min(j * 3 + 1 for j, u in enumerate(texts) if fingerprint.canonical(u) == fingerprint.canonical(t))
 
 
+def test_fingerprints_compare_bytes_inside_equal_buckets(spark):
+    texts = ["a", "b", "A", None, "b", "", "c", "a "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r["doc_id"]: r["group_id"] for r in fingerprint.exact_groups(docs, digest=lambda form: "x" if form in (b"a", b"b") else form.hex()).collect()}
+    assert groups == {0: 0, 1: 1, 2: 0, 3: 3, 4: 1, 5: 3, 6: 6, 7: 0}
+
+
 def test_fingerprint_edges(spark):
     one = spark.createDataFrame([(5, "abcd", "c")], "doc_id long, text string, x string")
     assert fingerprint.against_next(one).collect()[0]["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -49,38 +49,42 @@ def likeness(a: str, b: str) -> float:
     return 1.0 if fingerprint(a) == fingerprint(b) and canonical(a).encode() == canonical(b).encode() else 0.0
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest_batches(batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], str]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress
     for batch in batches:
         for at in range(0, batch.num_rows, OUT_ROWS):
             part = batch.slice(at, OUT_ROWS)
             forms = [canonical(t).encode() for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([xxhash.xxh3_128_hexdigest(f) for f in forms], pa.string()), pa.array([pack(f) for f in forms], pa.binary())],
+                [part.column(0), pa.array([digest(f) for f in forms], pa.string()), pa.array([pack(f) for f in forms], pa.binary())],
                 names=["doc_id", "fingerprint", "form"],
             )
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[bytes], str] = xxhash.xxh3_128_hexdigest) -> DataFrame:
     """``doc_id, fingerprint, group_id`` of each document; the group is its least doc_id.
 
-    Digests are counted first, pre-aggregated; forms meet only for digests that occur twice, in a join whose hot keys Spark
-    can split, and are then grouped by digest and bytes, again pre-aggregated.
+    Digest and form are grouped together and pre-aggregated before the shuffle, so a form that a third of all documents
+    share leaves each task once. Groups of one document are dropped; the documents then meet the groups' small table in a
+    join whose hot digests Spark can split.
     """
     rows = columns(docs, doc_id=doc_id, text=text)
-    digests = rows.mapInArrow(_digest_batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string, form binary")
+    digests = rows.mapInArrow(lambda batches: _digest_batches(batches, digest), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string, form binary")
     light = materialize(digests.select("doc_id", "fingerprint"))
-    twice = materialize(light.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"))
-    # Always dealt by digest, never by a copy of the table in each task: one plan at every size.
-    shared = digests.join(twice.hint("merge"), "fingerprint")
-    groups = materialize(shared.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n")))
+    groups = digests.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
     # Different forms under one digest are told apart by their bytes; without any, the digest alone finds the group.
-    clash = groups.groupBy("fingerprint").count().filter("count > 1").head(1)
-    if clash:
-        found = digests.join(groups, ["fingerprint", "form"]).select("doc_id", "fingerprint", "group_id")
-        alone = light.join(twice, "fingerprint", "left_anti").select("doc_id", "fingerprint", F.col("doc_id").alias("group_id"))
-        return found.unionByName(alone)
-    return light.join(groups.select("fingerprint", "group_id"), "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("group_id", "doc_id").alias("group_id"))
+    groups = materialize(groups.select("fingerprint", "group_id", "n"))
+    clashing = groups.groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
+    if clashing.head(1):
+        forms = digests.join(clashing, "fingerprint", "left_semi")
+        told = forms.join(forms.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id")), ["fingerprint", "form"])
+        told = told.select("doc_id", "fingerprint", "group_id")
+        rest = light.join(clashing, "fingerprint", "left_anti")
+    else:
+        told, rest = None, light
+    shared = groups.filter("n > 1").select("fingerprint", "group_id")
+    found = rest.join(shared.hint("merge"), "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("group_id", "doc_id").alias("group_id"))
+    return found if told is None else found.unionByName(told)
 
 
 def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
