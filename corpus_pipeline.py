@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from vellumspark.llm import bpe, language_id, minhash, mixing, substring_dedup
 from vellumspark.llm.common import materialize
 
+#: Similarity of word shingles, in per cent, from which the stage takes documents for near-duplicates.
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -21,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi")
 
 

@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import sys
 
 import pytest
 
 import corpus_pipeline
-from vellumspark.llm import bpe, mixing
+from vellumspark.llm import bpe, minhash, mixing
 
-from .test_dedup import brute, brute_cut
+from .test_dedup import brute, brute_cut, components, shingle_set
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,36 @@ def test_stages(spark, folder, tmp_path):
 def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_takes_pairs_from_80_percent(spark):
+    """Pairs of similarity 0.78 to 0.90: the stage agrees with brute force at 0.80, the operator alone at 0.85."""
+    rnd = random.Random(5)
+    data = []
+    for k in range(120):
+        a = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        # One new word changes five of 196 shingles; at 2 to 5 of them the similarity is 0.95 to 0.77.
+        b = list(a)
+        for at in rnd.sample(range(10, 190, 10), 2 + k % 4):
+            b[at] = f"e{rnd.randrange(10**6)}"
+        data += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    sets = {i: shingle_set(t) for i, t in data}
+    like = {2 * k: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(120)}
+    assert sum(0.80 <= j < 0.85 for j in like.values()) >= 20 and sum(j < 0.80 for j in like.values()) >= 20
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    gone = lambda least: {i + 1 for i, j in like.items() if j >= least}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert set(sets) - kept == gone(0.80)
+    assert {r["doc_id"] for r in minhash.near_duplicates(docs).filter("not kept").collect()} == gone(0.85)
+
+
+def brute_from_80(docs):
+    sets = {i: shingle_set(t) for i, t in docs}
+    ids = [i for i in sets if sets[i]]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    return sets, components(list(sets), links)
+
+
+def test_stages_with_near_duplicates_from_80_percent(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(sys.modules[__name__], "brute", brute_from_80)
+    test_stages(spark, folder, tmp_path)

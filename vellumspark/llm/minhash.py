@@ -10,7 +10,7 @@ outside their bucket's largest component meet all its members in blocks, where o
 leaves a task. So copies are never expanded into all pairs and no link is given up for a bucket's size.
 
 Two texts of similarity 0.85 share no band with probability 4e-7 (25 bands of 5 minima), and a signature
-that far below its expectation as to be dropped (0.65) is as rare.
+that far below its expectation as to be dropped (0.65) is as rare. From 0.80 on, 37 bands of 5 minima and 0.63 do the same.
 
 Defined cases: null, empty and wordless texts have the empty set and link with nothing; texts of fewer words than a shingle have
 their whole word sequence as one; equal rows fall into one class; a null doc_id is not allowed to stand for a class
@@ -20,6 +20,8 @@ unless all its ids are null; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +34,48 @@ from .common import columns, discard, materialize, table
 from .graph import connected_components
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 25, 5
-#: Pairs whose signatures agree in less than this share are not compared further.
-LEAST_ESTIMATE = 0.65
+
+
+@dataclass(frozen=True)
+class Banding:
+    """``bands`` of ``rows`` minima; pairs whose signatures agree in less than ``least_estimate`` are not compared further."""
+
+    bands: int
+    rows: int
+    least_estimate: float
+
+    @property
+    def minima(self) -> int:
+        return self.bands * self.rows
+
+
+#: By the least percentage that they are sized for.
+BANDINGS = {85: Banding(25, 5, 0.65), 80: Banding(37, 5, 0.63)}
 #: Buckets of up to so many classes give all their pairs; blocks of larger ones have up to so many.
 SMALL, BLOCK = 8, 256
 #: Bytes of text that are hashed together.
 GROUP_BYTES = 1 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_C = _rng.integers(0, 1 << 63, max(SHINGLE, ROWS) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+def banding(percent: int) -> Banding:
+    """The banding of the nearest size at or below ``percent``."""
+    sizes = [p for p in BANDINGS if p <= percent]
+    if not sizes:
+        raise ValueError(f"no banding is sized for {percent} %")
+    return BANDINGS[max(sizes)]
+
+
+@lru_cache
+def _factors(plan: Banding) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The constants of the minima's hashes and of the keys."""
+    rng = np.random.Generator(np.random.PCG64(20240607))
+    a = rng.integers(0, 1 << 63, plan.minima, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, plan.minima, dtype=np.uint64)
+    c = rng.integers(0, 1 << 63, max(SHINGLE, plan.rows) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return a, b, c
+
+
+_C = _factors(BANDINGS[PERCENT])[2]
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
 
@@ -73,20 +105,22 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, plan: Banding = BANDINGS[PERCENT]) -> np.ndarray:
     """The minima of the universal hashes (a x + b) >> 32."""
-    least = np.full(len(_A), 0xFFFFFFFF, np.uint32)
+    a, b, _ = _factors(plan)
+    least = np.full(plan.minima, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(shingles), 1024):
         x = shingles[at : at + 1024]
-        h = (_A[:, None] * x[None, :] + _B[:, None]).min(axis=1)
+        h = (a[:, None] * x[None, :] + b[:, None]).min(axis=1)
         least = np.minimum(least, (h >> np.uint64(32)).astype(np.uint32))
     return least
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """(n, BANDS) keys of (n, BANDS * ROWS) minima."""
-    s = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
-    return mix((s * _C[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _C[ROWS]).view(np.int64)
+def band_keys(signatures: np.ndarray, plan: Banding = BANDINGS[PERCENT]) -> np.ndarray:
+    """(n, bands) keys of (n, minima) minima."""
+    c = _factors(plan)[2]
+    s = signatures.reshape(len(signatures), plan.bands, plan.rows).astype(np.uint64)
+    return mix((s * c[: plan.rows]).sum(axis=2, dtype=np.uint64) + np.arange(1, plan.bands + 1, dtype=np.uint64) * c[plan.rows]).view(np.int64)
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -102,22 +136,25 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, group
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, texts in _groups(batch.column(1).to_pylist()):
-            sets = shingle_sets(texts)
-            sigs = np.stack([signature(s) for s in sets])
-            keys = band_keys(sigs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(first, len(texts)),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sigs], pa.binary()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_shingles", "set_key", "sig", "bands"],
-            )
+def _sketch(plan: Banding):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in _groups(batch.column(1).to_pylist()):
+                sets = shingle_sets(texts)
+                sigs = np.stack([signature(s, plan) for s in sets])
+                keys = band_keys(sigs, plan)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, len(texts)),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.array([s.tobytes() for s in sigs], pa.binary()),
+                        pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), plan.bands).cast(pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "n_shingles", "set_key", "sig", "bands"],
+                )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,14 +164,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            a, b = (np.frombuffer(b"".join(part.column(n).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for n in ("sig_a", "sig_b"))
-            est = (a == b).mean(axis=1)
-            keep = pa.array(np.flatnonzero(est >= LEAST_ESTIMATE))
-            yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep), pa.array(est[est >= LEAST_ESTIMATE])], names=["a", "b", "est"])
+def _estimate(plan: Banding):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                a, b = (np.frombuffer(b"".join(part.column(n).to_pylist()), np.uint32).reshape(-1, plan.minima) for n in ("sig_a", "sig_b"))
+                est = (a == b).mean(axis=1)
+                keep = pa.array(np.flatnonzero(est >= plan.least_estimate))
+                yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep), pa.array(est[est >= plan.least_estimate])], names=["a", "b", "est"])
+
+    return run
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -161,16 +201,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"))
 
 
-def _blocks(percent: int):
+def _blocks(percent: int, plan: Banding):
     """Within one block pair of one bucket: a spanning forest of the links between different components."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comps, outer = (table.column(n).to_pylist() for n in ("doc_id", "component", "outer"))
         band = table.column("band")[0].as_py()
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
-        keys = band_keys(sigs)
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, plan.minima)
+        keys = band_keys(sigs, plan)
         sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        small = np.asarray(table.column("smalls").to_pylist(), bool).reshape(-1, BANDS)
+        small = np.asarray(table.column("smalls").to_pylist(), bool).reshape(-1, plan.bands)
         root = {c: c for c in comps}
 
         def find(c):
@@ -185,7 +225,7 @@ def _blocks(percent: int):
             est = (sigs[inner] == sigs[i]).mean(axis=1)
             # A pair is compared in the first band that it shares; pairs of small buckets were compared before.
             earlier = (keys[inner, :band] == keys[i, :band]).any(axis=1) | ((keys[inner] == keys[i]) & small[i]).any(axis=1)
-            for j in inner[(est >= LEAST_ESTIMATE) & ~earlier]:
+            for j in inner[(est >= plan.least_estimate) & ~earlier]:
                 x, y = find(comps[i]), find(comps[j])
                 if x != y and _linked(sets[i], sets[j], percent):
                     root[x] = y
@@ -202,7 +242,7 @@ def _labelled(nodes: DataFrame, members: DataFrame, on: str, to: str) -> DataFra
     return nodes.join(m, on, "left").withColumn(to, F.coalesce("_c", on)).drop("_c")
 
 
-def _leftover(mb: DataFrame, classes: DataFrame, members: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
+def _leftover(mb: DataFrame, classes: DataFrame, members: DataFrame, texts: DataFrame, percent: int, plan: Banding) -> DataFrame | None:
     """Links of large buckets that stars may have missed, or None where no such bucket spans two components."""
     large = materialize(_labelled(mb.filter(F.col("n") > SMALL), members, "doc_id", "component"))
     per = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -218,7 +258,7 @@ def _leftover(mb: DataFrame, classes: DataFrame, members: DataFrame, texts: Data
     data = sets.join(sigs, "doc_id")
     # Which of a class's bands fell into small or single buckets: those pairs have been compared.
     big = data.select("doc_id", F.posexplode("bands").alias("band", "key")).join(mb.filter(F.col("n") > SMALL).select("key").distinct(), "key").groupBy("doc_id").agg(F.collect_set("band").alias("big"))
-    data = data.join(big, "doc_id").withColumn("smalls", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: ~F.array_contains("big", k)))
+    data = data.join(big, "doc_id").withColumn("smalls", F.transform(F.sequence(F.lit(0), F.lit(plan.bands - 1)), lambda k: ~F.array_contains("big", k)))
     # Blocks of outer members meet all blocks of their bucket; each row is dealt once for each block it meets.
     row = split.join(data, "doc_id").withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1)
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -226,14 +266,15 @@ def _leftover(mb: DataFrame, classes: DataFrame, members: DataFrame, texts: Data
     left = row.filter("outer").select("key", F.col("own").alias("ob"), F.explode(every).alias("ib"), "doc_id", "component", F.lit(True).alias("outer"), "band", "sig", "shingles", "smalls")
     right = row.join(outer_blocks, "key").select("key", "ob", F.col("own").alias("ib"), "doc_id", "component", F.lit(False).alias("outer"), "band", "sig", "shingles", "smalls")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return materialize(left.unionByName(right).groupBy("key", "ob", "ib").applyInArrow(_blocks(percent), f"a {kind}, b {kind}"))
+    return materialize(left.unionByName(right).groupBy("key", "ob", "ib").applyInArrow(_blocks(percent, plan), f"a {kind}, b {kind}"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document; the component is its least doc_id, which is kept."""
+    plan = banding(percent)
     rows = columns(docs, doc_id=doc_id, text=text)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sketch = materialize(rows.mapInArrow(_sketch, f"doc_id {kind}, n_shingles long, set_key binary, sig binary, bands array<bigint>"))
+    sketch = materialize(rows.mapInArrow(_sketch(plan), f"doc_id {kind}, n_shingles long, set_key binary, sig binary, bands array<bigint>"))
     light = materialize(sketch.select("doc_id", "n_shingles", "set_key"))
     first = light.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     own = sketch.select(F.col("doc_id").alias("rep"), "set_key", "sig", "bands").join(first, ["rep", "set_key"])
@@ -247,7 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     star = mb.filter((F.col("n") > SMALL) & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     pairs = pairs.unionByName(star).distinct()
     sig_a, sig_b = (classes.select(F.col("rep").alias(n), F.col("sig").alias(f"sig_{n}")) for n in "ab")
-    likely = materialize(pairs.join(sig_a, "a").join(sig_b, "b").mapInArrow(_estimate, f"a {kind}, b {kind}, est double"))
+    likely = materialize(pairs.join(sig_a, "a").join(sig_b, "b").mapInArrow(_estimate(plan), f"a {kind}, b {kind}, est double"))
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = materialize(rows.join(ids, "doc_id").mapInArrow(_sets, f"doc_id {kind}, shingles binary"))
     # First each text's likeliest partner, then the pairs that the links so far leave in different components.
@@ -259,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     if more.head(1):
         links = links.unionByName(more)
         members = materialize(connected_components(links, "a", "b"))
-    late = _leftover(mb, classes, members, rows, percent)
+    late = _leftover(mb, classes, members, rows, percent, plan)
     if late is not None and late.head(1):
         members = materialize(connected_components(links.unionByName(late), "a", "b"))
     named = materialize(_labelled(classes.select("set_key", "rep"), members, "rep", "component").select("set_key", "component"))
