@@ -109,6 +109,25 @@ def test_pruning(spark):
     assert row((1 << 17) - 1, 15, 100)
 
 
+def test_more_queries_than_a_block(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float((i * 37 + j * 11) % 17 - 8) for j in range(4)]) for i in range(60)], "vec_id long, embedding array<float>")
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = [(i, [0.5 + i % 3, 1.0, float(i % 7)], {f"t{i % 5}": 1.0, "all": 2.0}, f"form {i % 9}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "key long, stats array<double>, weights map<string, double>, canonical string").withColumn("norm", F.lit(1.0))
+    sigs = pattern.signatures(docs)
+
+    def run():
+        found = [pattern.vector_search(vectors, asked, k=3), pattern.cosine_search(docs, docs, k=3), pattern.signature_search(sigs, sigs, k=3), pattern.pattern_search(docs, docs, k=3, min_similarity=0.0)]
+        return [sorted(map(tuple, df.collect())) for df in found]
+
+    whole = run()
+    assert [len({r[0] for r in rows}) for rows in whole] == [60, 40, 40, 40]
+    monkeypatch.setattr(pattern, "MAX_QUERIES", 7)
+    assert run() == whole
+    plan = pattern.vector_search(vectors, asked)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_cache(spark):
     now = [0.0]
     c = cache.ResultCache(capacity=2, ttl=300, clock=lambda: now[0])

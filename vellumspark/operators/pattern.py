@@ -14,7 +14,7 @@ from ..functions.hashing import differing_bits, seeded_hash, share_of_equal_bits
 #: Bits of the stored signature: 100 and 4 of padding, in chunks of 32.
 STORED_BITS = 104
 CHUNK_BITS = (32, 32, 32, 8)
-#: Queries are broadcast up to so many; more are an error, for then another plan is right.
+#: Queries are broadcast up to so many; more are dealt into blocks of about so many.
 MAX_QUERIES = 10_000
 
 
@@ -46,9 +46,10 @@ def rank_shards(access: DataFrame, probability: Column, shards: int) -> DataFram
 
 
 def _against(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; search in batches")
-    return docs.crossJoin(F.broadcast(queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])))
+    """All pairs. Up to MAX_QUERIES queries are broadcast; of more, each block meets each partition of documents in a task of its own."""
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    blocks = -(-queries.count() // MAX_QUERIES)
+    return docs.crossJoin(F.broadcast(asked) if blocks <= 1 else asked.repartition(blocks).hint("shuffle_replicate_nl"))
 
 
 def cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
