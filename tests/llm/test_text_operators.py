@@ -110,6 +110,16 @@ def test_license_digests(spark):
     assert known == set(KNOWN)
 
 
+def test_licence_files_of_common_licences(spark):
+    ids = ["Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "OFL-1.1", "Unlicense"]
+    texts = [KNOWN[i] for i in ids]
+    texts += [" \n".join(t.split("\n")).upper() for t in texts] + [t + "\nand more" for t in texts]
+    apache = KNOWN["Apache-2.0"]
+    texts += [apache.replace("[yyyy] [name of copyright owner]", "2020 Somebody"), apache[: apache.index("   APPENDIX:")], "The ISC License\n\nCopyright (c) 2010 A\n\n" + KNOWN["ISC"]]
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == ids * 2 + [None] * len(ids) + ["Apache-2.0 (filled)", "Apache-2.0 (terms)", "ISC (titled, the)"]
+
+
 # mixing
 
 

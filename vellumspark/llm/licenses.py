@@ -1,4 +1,9 @@
-"""Public licence texts (copyright lines left out) and one-line notices, by identifier."""
+"""Public licence texts (copyright lines left out) and one-line notices, by identifier.
+
+Longer texts lie in ``license_texts``, one file an identifier.
+"""
+
+from importlib.resources import files
 
 MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -110,16 +115,26 @@ ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
 DEALINGS IN THE SOFTWARE.
 """
 
-KNOWN = {
+LONG = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+_APACHE = LONG["Apache-2.0"]
+
+KNOWN = LONG | {
     "0BSD": ZERO_BSD_BODY,
+    "Apache-2.0 (filled)": _APACHE.replace("   Copyright [yyyy] [name of copyright owner]\n", ""),
+    "Apache-2.0 (terms)": _APACHE[: _APACHE.index("   APPENDIX:")],
+    "Apache-2.0 (terms, no end)": _APACHE[: _APACHE.index("   END OF TERMS AND CONDITIONS")],
     "BSD-2-Clause": BSD_OPEN + BSD_CLOSE,
+    "BSD-2-Clause (titled)": "BSD 2-Clause License\n\n" + BSD_OPEN + BSD_CLOSE,
     "BSD-3-Clause": BSD_OPEN + BSD_THIRD + BSD_CLOSE,
+    "BSD-3-Clause (titled)": "BSD 3-Clause License\n\n" + BSD_OPEN + BSD_THIRD + BSD_CLOSE,
     "BSL-1.0": BOOST_BODY,
     "ISC": ISC_BODY,
     "ISC (titled)": "ISC License\n\n" + ISC_BODY,
+    "ISC (titled, the)": "The ISC License\n\n" + ISC_BODY,
     "MIT": MIT_BODY,
     "MIT (titled)": "MIT License\n\n" + MIT_BODY,
     "MIT (titled, the)": "The MIT License (MIT)\n\n" + MIT_BODY,
+    "MIT (titled, the only)": "The MIT License\n\n" + MIT_BODY,
     "Zlib": ZLIB_BODY,
     "Zlib (titled)": "zlib License\n\n" + ZLIB_BODY,
     "Apache-2.0 (notice)": "Licensed under the Apache License, Version 2.0.",
