@@ -24,8 +24,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    rows, key = substring_dedup.numbered_if_odd(docs)
+    kept = minhash.near_duplicates(rows, percent=NEAR_PERCENT, doc_id=key).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    return rows.join(kept, rows[key] == F.col("kept_id"), "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

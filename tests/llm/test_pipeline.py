@@ -105,3 +105,11 @@ def brute_from_80(docs):
 def test_stages_with_near_duplicates_from_80_percent(spark, folder, tmp_path, monkeypatch):
     monkeypatch.setattr(sys.modules[__name__], "brute", brute_from_80)
     test_stages(spark, folder, tmp_path)
+
+
+def test_near_dedup_with_repeated_and_null_ids(spark):
+    words = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcd"]
+    data = [(None, words[0]), (None, words[1]), (7, words[0]), (7, words[2]), (7, words[2]), (7, None), (7, words[3])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(None, words[0]), (None, words[1]), (7, words[2]), (7, None), (7, words[3])], key=repr)

@@ -177,9 +177,29 @@ def test_mix_follows_priors_and_keeps_columns(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_copies_with_repeated_and_null_ids(spark):
+    data = [(i if i else None, f"{s} " * 10, s) for s in "ab" for i in range(30)] + [(3, "a " * 10, "a")] * 2
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = [(r["doc_id"], r["source"]) for r in mixing.expand_copies(docs).collect()]
+    want = brute_targets({"a": 320, "b": 300})
+    for s in "ab":
+        assert abs(10 * sum(t == s for _, t in got) - want[s]) <= 10
+    assert (None, "b") in got
+    one = mixing.expand_copies(docs.filter("source = 'a'")).collect()
+    assert sorted((r["doc_id"] or 0) for r in one) == sorted([*range(30), 3, 3])
+
+
 # fingerprints
 
 
+def test_fingerprint_query_keeps_repeated_and_null_ids(spark, tmp_path):
+    data = [(None, "Abc"), (None, "x"), (5, "abc"), (7, "x y"), (7, "X  Y"), (7, "z"), (7, "z"), (9, None)]
+    spark.createDataFrame(data, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprint.query(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["fingerprint"]) for r in got) == sorted((i or 0, fingerprint.fingerprint(t)) for i, t in data)
+    assert {(r["doc_id"], r["group_id"]) for r in got if r["fingerprint"] == fingerprint.fingerprint("abc")} == {(None, 5), (5, 5)}
+
+
 def test_fingerprints_against_brute_force(spark):
     texts = ["Ａbc  x", "abc X", "ABC x", "straße", "STRASSE", None, "", " \n", "é", "é", "long " * 30_000, "ﬁn", "fin", "z"]
     docs = spark.createDataFrame([(i * 3 + 1, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string")

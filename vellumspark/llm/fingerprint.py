@@ -163,6 +163,8 @@ def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    groups = materialize(exact_groups(docs).select(F.col("doc_id").alias("of"), "group_id"))
+    # Rows of equal doc_id and fingerprint have one group; nulls meet nulls.
+    groups = exact_groups(docs).groupBy(F.col("doc_id").alias("of"), F.col("fingerprint").alias("form")).agg(F.min("group_id").alias("group_id"))
+    groups = materialize(groups)
     pairs = against_next(docs)
-    return pairs.join(groups, F.col("doc_id") == F.col("of")).drop("of")
+    return pairs.join(groups, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("fingerprint") == F.col("form"))).drop("of", "form")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, columns, materialize, table
+from .substring_dedup import numbered_if_odd
 
 #: No source's target and no document's copies exceed this multiple of their size.
 CAP = 3
@@ -149,9 +150,10 @@ def _thresholds(rated: DataFrame, plan: DataFrame) -> DataFrame:
 
 def expand_copies(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; the columns are those of ``docs``."""
-    chosen = mix(docs, cap).select(F.col("doc_id").alias("mixed_id"), "copies").filter("copies > 0").distinct()
-    met = docs.join(chosen, docs["doc_id"] == F.col("mixed_id"))
-    return met.withColumn("mixed_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    rows, key = numbered_if_odd(docs)
+    chosen = mix(rows, cap, doc_id=key).select(F.col("doc_id").alias("mixed_id"), "copies").filter("copies > 0")
+    met = rows.join(chosen, rows[key] == F.col("mixed_id"))
+    return met.withColumn("mixed_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[rows[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,6 +354,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return cut.select("doc_id", *facts, *[F.col(f"carried_{k}").alias(c) for k, c in enumerate(carried)])
 
 
+def numbered_if_odd(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and ``doc_id``, or, where doc_ids are null or repeated, ``docs`` with a row number and its name."""
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").head(1):
+        return _numbered(docs), "row_no"
+    return docs, "doc_id"
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """``rows`` with row_no, counting in order of doc_id (null first) and text; the driver sees one count a partition."""
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
