@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 
+#: Below so many bytes a core, a table is dealt out anew.
+SPLIT_BYTES = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the bytes that ``df`` reads: file sizes for a scan. Nothing runs for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files give fewer splits than that; large inputs stay as they are."""
+    """``df`` dealt over all cores where it is too small for Spark to split (a file of one row group is one task); larger inputs stay as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(cores) if input_bytes(df) < SPLIT_BYTES * cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
