@@ -81,7 +81,7 @@ class Scope:
         return self
 
     def __exit__(self, *_) -> None:
-        _open.remove(self.made)
+        _open[:] = [made for made in _open if made is not self.made]
 
     def discard(self, *kept: DataFrame) -> None:
         stay = {getattr(df, "_vellum_path", None) for df in kept}
