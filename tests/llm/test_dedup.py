@@ -79,6 +79,26 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids_are_neither_lost_nor_multiplied(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    data = [(1, a), (1, a), (2, a), (None, b), (None, b), (3, b), (4, c), (4, a), (5, None), (5, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in data], "doc_id long, text string, component string, row int, kept string")
+    got = minhash.near_duplicates(docs).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"]) for r in got), key=repr) == sorted(((i, len(shingle_set(t))) for i, t in data), key=repr)
+    members = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["n_shingles"]), key=repr)
+    assert members == sorted([(1, 1, True), (1, 1, False), (2, 1, False), (4, 1, False), (4, 4, True), (None, None, True), (None, None, False), (3, None, False)], key=repr)
+    assert all(r["kept"] for r in got if not r["n_shingles"])
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(1, a), (0, b), (4, c), (5, ""), (5, ""), (0, "")])
+
+
+def test_hub_edges_are_salted(spark, monkeypatch):
+    from vellumspark.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", 50)
+    test_components(spark)
+
+
 def test_large_bucket_without_a_common_hub(spark):
     """A chain of texts, each like its neighbours alone: stars miss links, blocks must find them."""
     rnd = random.Random(4)

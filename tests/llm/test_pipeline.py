@@ -2,14 +2,15 @@
 
 import hashlib
 import random
-import sys
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from vellumspark.llm import bpe, minhash, mixing
 
-from .test_dedup import brute, brute_cut, components, shingle_set
+from .test_dedup import brute_cut, components, shingle_set
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +48,7 @@ def test_stages(spark, folder, tmp_path):
         if name == "language_id":
             assert set(before) - set(after) == {1000, 1001, 1002}
         elif name == "near_dedup":
-            assert set(after) == {i for i, c in brute(texts)[1].items() if i == c}
+            assert set(after) == {i for i, c in brute_from_80(texts)[1].items() if i == c}
         elif name == "suffix_array_dedup":
             cut = brute_cut(texts)
             left = {i: w[4].decode("utf-8", "ignore") for i, w in cut.items() if w[4] or not w[1]}
@@ -102,14 +103,30 @@ def brute_from_80(docs):
     return sets, components(list(sets), links)
 
 
-def test_stages_with_near_duplicates_from_80_percent(spark, folder, tmp_path, monkeypatch):
-    monkeypatch.setattr(sys.modules[__name__], "brute", brute_from_80)
-    test_stages(spark, folder, tmp_path)
-
-
 def test_near_dedup_with_repeated_and_null_ids(spark):
     words = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcd"]
     data = [(None, words[0]), (None, words[1]), (7, words[0]), (7, words[2]), (7, words[2]), (7, None), (7, words[3])]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=repr) == sorted([(None, words[0]), (None, words[1]), (7, words[2]), (7, None), (7, words[3])], key=repr)
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Repeated rows, null and repeated ids, a long text, and columns with the names that stages use inside."""
+    rnd = random.Random(21)
+    text = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(n))
+    data = [(i, text(rnd.randint(8, 60)), "xx", f"s{i % 3}", 1, "k") for i in range(60)]
+    data += [(3, text(30), "xx", "s0", 2, "k"), (None, text(30), None, None, 3, "k"), (None, text(40), "xx", None, 4, "k"), (70, text(60_000), "xx", "s1", 5, "k"), (71, None, None, "s1", 6, "k")] + [(80, data[0][1], "xx", "s2", 7, "k")] * 3
+    names = "doc_id long, text string, lang string, source string, copies int, kept_id string"
+    docs = spark.createDataFrame(data, names).withColumns({c: F.lit(1) for c in ("row_no", "mixed_id", "mixed_no", "lang_score", "bucket", "component", "tag", "n_chars")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    counts = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        counts.append(now.count())
+        assert k == 4 or now.columns == docs.columns
+    # The null text goes; of the text that four rows share, one row stays; nothing else is lost.
+    assert counts[:3] == [67, 64, 64] and counts[4] == counts[3]
+    assert {r["doc_id"] for r in now.collect()} <= {r[0] for r in data}

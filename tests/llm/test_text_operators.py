@@ -154,7 +154,7 @@ def test_mix_targets_and_copies(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string, source string, size string, rate double")
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(5)).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) if all(r["source"] for r in got) else {tuple(r) for r in got} == {tuple(r) for r in again}
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
     sizes = {}
     for _, t, s, *_ in data:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
@@ -172,11 +172,43 @@ def test_mix_follows_priors_and_keeps_columns(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2], 1.0 + (i % 4)) for i in range(200)], "doc_id long, text string, source string, p double")
     got = mixing.mix(docs, prior="p").collect()
     by = {(r["doc_id"] % 4): r["rate"] for r in got}
-    assert by[2] / by[0] == pytest.approx(3.0, rel=1e-6) or max(by.values()) == 3.0
+    # Source a: priors 1 and 3, 500 words each, target 2000 / 3; source b: priors 2 and 4, target 4000 / 3.
+    assert by[2] / by[0] == pytest.approx(3.0, rel=1e-9) and 500 * (by[0] + by[2]) == pytest.approx(2000 / 3, rel=1e-9)
+    assert by[3] / by[1] == pytest.approx(2.0, rel=1e-9) and 500 * (by[1] + by[3]) == pytest.approx(4000 / 3, rel=1e-9)
     assert mixing.expand_copies(docs).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rates_by_bisection(spark):
+    """Priors and caps that bind: each source's multiplier found by bisection instead."""
+    import math
+
+    rnd = random.Random(12)
+    stats = {s: [(rnd.choice([0.2, 0.5, 1.0, 2.5, 6.0]) * (k + 1), float(rnd.randint(1, 500))) for k in range(6)] for s in "abcde"}
+    targets = {s: rnd.uniform(0.2, 2.8) * sum(m for _, m in rows) for s, rows in stats.items()} | {"e": 3.0 * sum(m for _, m in stats["e"])}
+    got = mixing.entropy_balance(
+        spark.createDataFrame([(s, p, m) for s, rows in stats.items() for p, m in rows], "source string, prior double, mass double"),
+        spark.createDataFrame(list(targets.items()), "source string, target double"),
+    )
+    got = {r["source"]: r["lam"] for r in got.collect()}
+    for s, rows in stats.items():
+        reached = lambda lam: sum(m * min(3.0, p * math.exp(lam)) for p, m in rows)  # noqa: B023, E731
+        lo, hi = -30.0, 30.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if reached(mid) < targets[s] else (lo, mid)
+        assert reached(got[s]) == pytest.approx(targets[s], rel=1e-9)
+        if s != "e":
+            assert got[s] == pytest.approx(lo, abs=1e-8)
+    with pytest.raises(RuntimeError):
+        mixing.entropy_balance(spark.createDataFrame([("a", 1.0, 10.0)], "source string, prior double, mass double"), spark.createDataFrame([("a", 25.0)], "source string, target double"), steps=2)
+
+
+def test_copies_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2], 1, 2, "x", 3, "s") for i in range(40)], "doc_id long, text string, source string, copies int, mixed_id int, kept_id string, row_no int, size string")
+    assert mixing.expand_copies(docs).columns == docs.columns and mixing.expand_copies(docs.unionAll(docs)).columns == docs.columns
+
+
 def test_copies_with_repeated_and_null_ids(spark):
     data = [(i if i else None, f"{s} " * 10, s) for s in "ab" for i in range(30)] + [(3, "a " * 10, "a")] * 2
     docs = spark.createDataFrame(data, "doc_id long, text string, source string")
@@ -228,6 +260,9 @@ def test_fingerprint_edges(spark):
     one = spark.createDataFrame([(5, "abcd", "c")], "doc_id long, text string, x string")
     assert fingerprint.against_next(one).collect()[0]["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
     assert fingerprint.against_next(one.limit(0)).count() == 0 and fingerprint.exact_groups(one.limit(0)).count() == 0
+    named = spark.createDataFrame([(f"n{k:03}", f"text {k}") for k in range(60)], "doc_id string, text string")
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint.against_next(named, ranges=7).collect()}
+    assert got == {f"n{k:03}": hashlib.sha256(fingerprint.edited(f"text {k}", f"text {(k + 1) % 60}").encode()).hexdigest() for k in range(60)}
     twice = spark.createDataFrame([(5, "a", "c"), (5, "a", "c"), (None, "b", "c")], "doc_id long, text string, x string")
     assert fingerprint.against_next(twice, ranges=3).count() == 3
 
@@ -312,3 +347,60 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.predict(odd, blank).collect()} == {"und"}
     kept = language_id.with_language(docs, model)
     assert set(docs.columns) <= set(kept.columns) and kept.count() == len(data)
+
+
+def _plain_vector(text):
+    """Hashed n-grams of a text, one at a time."""
+    import re
+
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    data = (" " + " ".join(words) + " ").encode()
+    mult = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+    counts = {}
+    for n in (1, 2, 3, 4):
+        for i in range(len(data) - n + 1):
+            code = ((int.from_bytes(data[i : i + n], "big") * mult[n - 1] + n) % 2**32) >> 17
+            counts[code] = counts.get(code, 0) + 1
+    return counts
+
+
+def test_language_id_against_brute_force(spark):
+    import math
+
+    rnd = random.Random(10)
+    letters = {"xx": "abcdefg", "yy": "efghijk", "zz": "aeiouéè"}
+    text = lambda lang, n: " ".join("".join(rnd.choices(letters[lang], k=rnd.randint(2, 6))) for _ in range(n))
+    data = [(i, text(lang, rnd.randint(1, 40)), lang) for i in range(150) for lang in [rnd.choice(list(letters))]]
+    data += [(1000 + i, *data[0][1:]) for i in range(40)] + [(2000, "12", "xx"), (2001, None, "xx")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    vectors = {(lang, t): _plain_vector(t) for _, t, lang in data if t and t != "12"}
+    idf = {}
+    for code in {c for v in vectors.values() for c in v}:
+        idf[code] = math.log((1 + len(vectors)) / (1 + sum(code in v for v in vectors.values()))) + 0.05
+    assert all(model.idf[c] == pytest.approx(x, rel=1e-5) for c, x in idf.items())
+    assert model.centroids.shape[1] == len(model.owner) <= 4 * len(model.langs) and model.langs == ("xx", "yy", "zz")
+    asked = [(i, text(rnd.choice(list(letters)), rnd.randint(1, 30)), None) for i in range(80)]
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    for i, t, _ in asked:
+        w = {c: math.log1p(n) * float(model.idf[c]) for c, n in _plain_vector(t).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        cos = [sum(x * float(model.centroids[c, k]) for c, x in w.items()) / norm for k in range(len(model.owner))]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert got[i]["score"] == pytest.approx(cos[best], abs=1e-4)
+        if sorted(cos)[-1] - sorted(cos)[-2] > 1e-4:
+            assert got[i]["lang_pred"] == model.langs[model.owner[best]]
+
+
+def test_language_id_ties_and_many_languages(spark):
+    same = [(i, "abc abd", lang) for i, lang in enumerate(["q", "p", "q", "p"])]
+    docs = spark.createDataFrame(same, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.predict(docs, language_id.fit(docs)).collect()} == {"p"}
+    many = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}x" * 3, f"l{i}") for i in range(250)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(many).langs) == 250
+
+
+def test_language_id_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = language_id.query(spark, "/root/testdata/sf0.001").filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) > 50 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got) and not any(r["rejected"] for r in got)

@@ -2,15 +2,17 @@
 
 A text becomes a normalised TF-IDF vector of hashed byte 1- to 4-grams of its lower-case words. Each language has several centroids
 (spherical k-means over its training texts); a text gets the language of the centroid with the greatest cosine.
-A text that is farther from every centroid than nearly all training texts are from theirs is marked as rejected.
+A text that is farther from every centroid than nearly all training texts of its amount of evidence are from theirs is
+marked as rejected: a short text has few n-grams and so a small cosine with anything, for which it is not blamed.
 
-The model is fitted on at most ``PER_LANG`` labelled texts a language, the first in a hashed order, of at most ``MAX_LANGS``
-languages (the most frequent); their features come from executors, so the driver holds bounded sparse vectors. Prediction covers every
-whole text.
+The model is fitted on a sample of about ``PER_LANG`` labelled texts of every language: those whose hash lies below a threshold that
+follows from the language's count, so nothing is ranked. Document frequencies are a grouping, each language is
+clustered in a task of its own, and the driver receives one idf vector and the centroids (``DIMS * CENTROIDS`` floats a language).
+Prediction covers every whole text.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0 and is rejected; null labels teach nothing; equal cosines go
-to the language first by name; without any labelled text all is ``und``; repeated rows are kept; an empty table gives an
-empty result; other columns are ignored.
+Defined cases: a null text or one without a letter is ``und`` with score 0 and is rejected; null labels teach nothing; equal texts of one
+language teach once; equal cosines go to the language first by name; without any labelled text all is ``und``; repeated
+rows are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +23,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, table
+from .common import columns, materialize, table
 
 #: Hashed dimensions, n-gram lengths in bytes, centroids a language, k-means rounds.
 DIMS, GRAMS, CENTROIDS, ROUNDS = 1 << 15, (1, 2, 3, 4), 4, 12
-#: Training texts a language and languages at most.
-PER_LANG, MAX_LANGS = 400, 200
-#: A text is rejected if its cosine is below this share of the least cosines in training (their 0.5 % quantile).
+#: Training texts a language, on average over hashes; a language with fewer gives all.
+PER_LANG = 400
+#: Bytes of centroids that the driver and every worker can hold; more languages than that are an error, not left out.
+MODEL_BYTES = 1 << 30
+#: A text is rejected if its cosine over ``evidence`` is below this share of the least ones in training (their 0.5 % quantile).
 REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.005
+#: Distinct n-grams from which a text's cosine is taken as it is.
+FULL_EVIDENCE = 256
 OUT_ROWS = 512
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -60,6 +66,11 @@ def vector(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     return codes.astype(np.int32), counts[codes].astype(np.float32)
 
 
+def evidence(n_grams: int) -> float:
+    """What the cosine of a text of so many distinct n-grams is measured by: it grows with their square root until it is 1."""
+    return min(1.0, (n_grams / FULL_EVIDENCE) ** 0.5)
+
+
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
@@ -80,7 +91,7 @@ class Model:
         cos = (w @ self.centroids[codes]) / norm
         k = int(np.argmax(cos))
         score = float(min(1.0, max(0.0, cos[k])))
-        return self.langs[self.owner[k]], score, score < self.reject_below
+        return self.langs[self.owner[k]], score, score < self.reject_below * evidence(len(codes))
 
 
 def _cluster(x: np.ndarray, k: int) -> np.ndarray:
@@ -102,54 +113,71 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def fit_vectors(rows: list[tuple[str, list[int], list[float]]]) -> Model:
-    """A model from (language, codes, counts) rows."""
-    langs = tuple(sorted({r[0] for r in rows}))
-    if not rows:
-        return Model((), np.zeros(DIMS, np.float32), np.zeros((DIMS, 0), np.float32), np.zeros(0, np.int64), 0.0)
-    rows = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1]))
-    df = np.zeros(DIMS)
-    for _, codes, _ in rows:
-        df[codes] += 1
-    idf = (np.log((1 + len(rows)) / (1 + df)) + 0.05).astype(np.float32)
-    parts, owner, least = [], [], []
-    for j, lang in enumerate(langs):
-        own = [r for r in rows if r[0] == lang]
-        x = np.zeros((len(own), DIMS), np.float32)
-        for i, (_, codes, counts) in enumerate(own):
-            x[i, codes] = np.log1p(np.asarray(counts, np.float32)) * idf[codes]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        c = _cluster(x, CENTROIDS)
-        least.append((x @ c.T).max(axis=1))
-        parts.append(c)
-        owner += [j] * len(c)
-    below = REJECT_SHARE * float(np.quantile(np.concatenate(least), REJECT_QUANTILE))
-    return Model(langs, idf, np.ascontiguousarray(np.concatenate(parts).T), np.asarray(owner), below)
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, OUT_ROWS):
             part = batch.slice(at, OUT_ROWS)
-            found = [(lang, *v) for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if (v := vector(text)) is not None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.list_(pa.float32()))],
-                names=["lang", "codes", "counts"],
-            )
+            found = [(lang, v[0].tobytes(), v[1].tobytes()) for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if (v := vector(text)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), *[pa.array([f[k] for f in found], pa.binary()) for k in (1, 2)]], names=["lang", "codes", "counts"])
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's texts hold each n-gram; code -1 counts the texts."""
+    df, n = np.zeros(DIMS, np.int64), 0
+    for batch in batches:
+        for codes in batch.column(0).to_pylist():
+            df[np.frombuffer(codes, np.int32)] += 1
+            n += 1
+    if n:
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], names=["code", "c"])
+
+
+def _clustered(idf: np.ndarray):
+    """A language's sample to its centroids, and each text's cosine to the nearest of them over its evidence."""
+
+    def run(sample: pa.Table) -> pa.Table:
+        rows = sorted(zip(sample.column("codes").to_pylist(), sample.column("counts").to_pylist(), strict=True))
+        x = np.zeros((len(rows), DIMS), np.float32)
+        for i, (codes, counts) in enumerate(rows):
+            at = np.frombuffer(codes, np.int32)
+            x[i, at] = np.log1p(np.frombuffer(counts, np.float32)) * idf[at]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        c = _cluster(x, CENTROIDS)
+        near = np.sort((x @ c.T).max(axis=1) / [evidence(len(codes) // 4) for codes, _ in rows])
+        return pa.table([sample.column("lang").slice(0, 1), pa.array([c.astype("<f4").tobytes()], pa.binary()), pa.array([near], pa.list_(pa.float64()))], names=["lang", "centroids", "near"])
+
+    return run
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Model:
     """A model from labelled documents; rows with a null label are left out."""
     rows = columns(docs, doc_id=doc_id, text=text, lang=lang).filter("lang is not null and text is not null")
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    order = F.xxhash64("doc_id")
-    # Ids are ranked without their texts; hot languages are cut to per_lang in each task first.
-    w = Window.partitionBy("lang").orderBy("k", "doc_id")
-    ids = rows.filter(F.col("lang").isin(top)).select("lang", "doc_id", order.alias("k")).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_lang)
-    chosen = ids.select(F.col("doc_id").alias("of")).distinct()
-    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of"), "left_semi").select("lang", "text")
-    found = sample.mapInArrow(_features, "lang string, codes array<int>, counts array<float>").collect()
-    return fit_vectors([(r["lang"], r["codes"], r["counts"]) for r in found])
+    # A written table of one row a language: its size is known when the join is planned.
+    share = materialize(rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("share")))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**40)) / F.lit(2.0**40)
+    sample = rows.withColumn("drawn", drawn).join(share.withColumnRenamed("lang", "of"), (F.col("lang") == F.col("of")) & (F.col("drawn") < F.col("share")))
+    sample = materialize(sample.select("lang", "text").mapInArrow(_features, "lang string, codes binary, counts binary").distinct())
+    df = sample.select("codes").mapInArrow(_frequencies, "code int, c long").groupBy("code").agg(F.sum("c").alias("c")).toArrow()
+    seen = np.zeros(DIMS + 1)
+    seen[df.column("code").to_numpy()] = df.column("c").to_numpy()
+    if not seen[-1]:
+        return Model((), np.zeros(DIMS, np.float32), np.zeros((DIMS, 0), np.float32), np.zeros(0, np.int64), 0.0)
+    idf = (np.log((1 + seen[-1]) / (1 + seen[:DIMS])) + 0.05).astype(np.float32)
+    known = sample.select("lang").distinct().count()
+    if known * CENTROIDS * DIMS * 4 > MODEL_BYTES:
+        raise ValueError(f"{known} languages need more than {MODEL_BYTES} bytes of centroids: lower DIMS or CENTROIDS")
+    found = sample.groupBy("lang").applyInArrow(_clustered(idf), "lang string, centroids binary, near array<double>").toArrow()
+    order = np.argsort(np.array(found.column("lang").to_pylist(), object))
+    parts = [np.frombuffer(found.column("centroids")[int(k)].as_buffer(), "<f4").reshape(-1, DIMS) for k in order]
+    near = np.concatenate([found.column("near")[int(k)].values.to_numpy() for k in order])
+    return Model(
+        tuple(found.column("lang")[int(k)].as_py() for k in order),
+        idf,
+        np.ascontiguousarray(np.concatenate(parts).T),
+        np.repeat(np.arange(len(parts)), [len(c) for c in parts]),
+        REJECT_SHARE * float(np.quantile(near, REJECT_QUANTILE)),
+    )
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
