@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import columns, materialize, shuffle_partitions, table
 
 #: Code points of a chunk without its overlap, and of the overlap with the next chunk.
-CHUNK, OVERLAP = 32_768, 2_048
+CHUNK, OVERLAP = 16_384, 1_024
 #: Boundaries this near to a chunk's end may be the cut's doing: the last match, and white space before it.
 UNSURE = 3
 #: Pre-tokens that a worker keeps encoded; when full, the table starts anew.

@@ -2,59 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import Scope, discard, materialize
+
 #: A word is a maximal run of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vellumspark-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, small: bool = False, **options) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage at files that outlive executors.
-
-    After a ``small`` table nothing is worth cleaning up.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/vellum-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._vellum_path = path
-    if not small:
-        release(spark)
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_vellum_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: The row number that stands for doc_ids that are null or repeated; no input has such a column.
+ROW_NO = "_vellum_row"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -72,3 +28,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns under the operators' own names, so that extra columns cannot clash."""
     return df.select(*[df[source].alias(name) for name, source in wanted.items()])
+
+
+def unique_ids(docs: DataFrame, doc_id: str = "doc_id") -> bool:
+    """Whether no doc_id is null or repeated; one grouping of the ids alone."""
+    return not docs.groupBy(doc_id).count().filter(F.col(doc_id).isNull() | (F.col("count") > 1)).head(1)
+
+
+def numbered_if_odd(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and ``doc_id``, or, where doc_ids are null or repeated, ``docs`` with a row number and its name."""
+    if unique_ids(docs):
+        return docs, "doc_id"
+    return numbered(docs, ROW_NO), ROW_NO
+
+
+def numbered(rows: DataFrame, name: str = "row_no") -> DataFrame:
+    """``rows`` with a row number, counting in order of doc_id (null first) and text; the driver sees one count a partition.
+
+    Equal rows are told apart by where they were read, so that any number of them spreads over many ranges.
+    """
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first(), F.col("_vellum_read")]
+    read = rows.withColumn("_vellum_read", F.monotonically_increasing_id())
+    ranged = read.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = materialize(ranged.select(*rows.columns, F.spark_partition_id().alias("_vellum_part"), F.monotonically_increasing_id().alias("_vellum_at")))
+    first = dealt.groupBy("_vellum_part").agg(F.count(F.lit(1)).alias("c"), F.min("_vellum_at").alias("least")).orderBy("_vellum_part").collect()
+    before, offsets = 0, {}
+    for r in first:
+        offsets[r["_vellum_part"]] = before - r["least"]
+        before += r["c"]
+    if not offsets:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    shift = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
+    return dealt.select(*rows.columns, (F.col("_vellum_at") + shift[F.col("_vellum_part")]).cast("long").alias(name))
+
+
+__all__ = ["WORD", "Scope", "ascii_lower", "columns", "discard", "materialize", "numbered", "numbered_if_odd", "shuffle_partitions", "table", "unique_ids"]

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import columns, materialize, shuffle_partitions, table
 
 ZSTD_LEVEL = 3
+#: doc_ids drawn for each range when ids are cut into ranges.
+SAMPLE = 20
 #: Rows of an Arrow batch that leave a worker at once.
 OUT_ROWS = 512
 
@@ -135,20 +137,27 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
+def _range_starts(rows: DataFrame, n: int, total: int, least) -> list:
+    """Up to n - 1 doc_ids above the least one that cut the ids into even ranges."""
+    share = min(1.0, SAMPLE * n / max(1, total))
+    ids = rows.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.lit(least)) & (F.pmod(F.xxhash64("doc_id"), F.lit(2**40)) < share * 2**40))
+    drawn = [r[0] for r in ids.select("doc_id").distinct().orderBy("doc_id").collect()] if total else []
+    return [x for k, x in enumerate(drawn) if k * n // len(drawn) != (k - 1) * n // len(drawn)][1 if len(drawn) >= n else 0 :]
+
+
 def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """Each document against its edited text and the next document by doc_id (after the last: the first).
 
-    doc_ids are cut into ranges at quantiles that are doc_ids themselves; the documents that start a range go to the end
-    of the range before as well, so each document meets its follower inside its range and no task sees the whole order.
-    A driver list holds one id a range.
+    doc_ids, of any type that Spark orders, are cut into ranges at doc_ids of a hashed sample; the documents that start a range
+    go to the end of the range before as well, so each document meets its follower inside its range and no task sees the
+    whole order. A driver list holds about SAMPLE ids a range.
     """
     rows = columns(docs, doc_id=doc_id, text=text)
     n = ranges or 2 * shuffle_partitions(docs.sparkSession)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    probs = F.array(*[F.lit(k / n) for k in range(n)])
-    cuts = rows.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", probs, 20 * n).alias("cuts"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
+    cuts = rows.agg(F.min("doc_id").alias("least"), F.count("doc_id").alias("n"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
     # The first range starts at the least id, or at null.
-    starts = sorted({x for x in (cuts["cuts"] or []) if x != cuts["least"]})
+    starts = _range_starts(rows, n, cuts["n"], cuts["least"])
     bounds = F.array(*[F.lit(x) for x in starts]).cast(f"array<{id_type}>")
     first = F.col("doc_id").isNull() if cuts["nulls"] else (F.col("doc_id") == F.lit(cuts["least"]))
     at = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0))

@@ -13,8 +13,9 @@ Two texts of similarity 0.85 share no band with probability 4e-7 (25 bands of 5
 that far below its expectation as to be dropped (0.65) is as rare. From 0.80 on, 37 bands of 5 minima and 0.63 do the same.
 
 Defined cases: null, empty and wordless texts have the empty set and link with nothing; texts of fewer words than a shingle have
-their whole word sequence as one; equal rows fall into one class; a null doc_id is not allowed to stand for a class
-unless all its ids are null; an empty table gives an empty result; other columns are ignored.
+their whole word sequence as one; rows whose doc_ids are null or repeated count as documents of their own in the order of doc_id (null
+first) and text: none is lost or multiplied, a component has the doc_id of its first row, and that row alone is kept; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytehash import Ranges, mix
-from .common import columns, discard, materialize, table
+from .common import Scope, columns, discard, materialize, numbered_if_odd, table
 from .graph import connected_components
 
 SHINGLE, PERCENT = 5, 85
@@ -271,8 +272,35 @@ def _leftover(mb: DataFrame, classes: DataFrame, members: DataFrame, texts: Data
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document; the component is its least doc_id, which is kept."""
+    rows, key = numbered_if_odd(columns(docs, doc_id=doc_id, text=text))
+    found = _components(columns(rows, doc_id=key, text="text"), percent)
+    if key == "doc_id":
+        return found
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").alias("own_id"))
+    of = ids.select(F.col("row").alias("component_id"), F.col("own_id").alias("first_id"))
+    met = found.join(ids, F.col("doc_id") == F.col("row")).join(of, "component_id")
+    return met.select(F.col("own_id").alias("doc_id"), "n_shingles", F.col("first_id").alias("component_id"), "kept")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without the documents that are near-duplicates of one before them; all columns stay."""
+    rows, key = numbered_if_odd(docs)
+    kept = _components(columns(rows, doc_id=key, text="text"), percent).filter("kept").select(F.col("doc_id").alias("_vellum_kept"))
+    return rows.join(kept, rows[key] == F.col("_vellum_kept"), "left_semi").select(*docs.columns)
+
+
+def _components(rows: DataFrame, percent: int) -> DataFrame:
+    """``near_duplicates`` of rows whose doc_ids are neither null nor repeated. Only two of its tables outlive it."""
+    with Scope() as scope:
+        light, named = _classes(rows, percent)
+    scope.discard(light, named)
+    component = F.coalesce("component", "doc_id")
+    return light.join(named, "set_key", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def _classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n_shingles, set_key`` of each text, and ``set_key, component`` of each class of equal sets."""
     plan = banding(percent)
-    rows = columns(docs, doc_id=doc_id, text=text)
     kind = rows.schema["doc_id"].dataType.simpleString()
     sketch = materialize(rows.mapInArrow(_sketch(plan), f"doc_id {kind}, n_shingles long, set_key binary, sig binary, bands array<bigint>"))
     light = materialize(sketch.select("doc_id", "n_shingles", "set_key"))
@@ -304,10 +332,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     if late is not None and late.head(1):
         members = materialize(connected_components(links.unionByName(late), "a", "b"))
     named = materialize(_labelled(classes.select("set_key", "rep"), members, "rep", "component").select("set_key", "component"))
-    discard(classes, mb, buckets, likely, sets)
-    out = light.join(named, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return light, named
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

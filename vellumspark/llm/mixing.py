@@ -17,8 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, columns, materialize, table
-from .substring_dedup import numbered_if_odd
+from .common import columns, materialize, numbered_if_odd, table
 
 #: No source's target and no document's copies exceed this multiple of their size.
 CAP = 3
@@ -41,7 +40,8 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size``: weights 1, 2, 3, repeating by sorted source, sharing the total.
 
     A target stops at ``cap`` times its source's size; the excess is reshared by weight until none is above. That is the
-    level m with sum(min(cap size, m weight)) = total, found in order of cap size / weight. It works on one row a source.
+    level m with sum(min(cap size, m weight)) = total, found in order of cap size / weight. Its windows order all sources in one
+    task, at one short row a source: meant for up to some ten million sources, not for one a document.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     s = sizes.withColumn("w", (F.pmod(F.row_number().over(by_name) - 1, F.lit(3)) + 1).cast("double"))
@@ -59,27 +59,32 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def entropy_balance(stats: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = NEWTON_STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``source, lam``: the dual's multipliers. ``stats`` has ``source, prior, mass``: words by prior rate, which is all the dual depends on."""
-    rows = materialize(stats, small=True)
-    # Without caps and with one prior rate the dual's solution is the logarithm of target over mass: the start.
-    mass = rows.groupBy("source").agg(F.sum(F.col("prior") * F.col("mass")).alias("got")).withColumnRenamed("source", "of")
-    start = F.log(F.greatest("target", F.lit(1e-9)) / F.greatest("got", F.lit(1e-9)))
-    lam = targets.join(mass, F.col("of").eqNullSafe(F.col("source"))).select("source", "target", F.when((F.col("target") > 0) & (F.col("got") > 0), start).otherwise(0.0).alias("lam"))
+    """``source, lam``: the dual's multipliers, by Newton's method from 0. ``stats`` has ``source, prior, mass``: words by prior rate, which is all the dual depends on.
+
+    A source whose target its caps do not let it reach ends at the caps; steps that run out are an error.
+    """
+    rows = materialize(stats)
+    none = F.lit(None).cast("double")
+    lam = targets.select("source", "target", F.lit(0.0).alias("lam"), none.alias("lo"), none.alias("hi"))
     for _ in range(steps):
         tilted = F.col("prior") * F.exp("lam")
         met = rows.withColumnRenamed("source", "of").join(lam, F.col("of").eqNullSafe(F.col("source")))
-        sums = met.groupBy("source", "target", "lam").agg(
+        sums = met.groupBy("source", "target", "lam", "lo", "hi").agg(
             F.sum(F.col("mass") * F.least(F.lit(float(cap)), tilted)).alias("got"),
             F.sum(F.when(tilted < cap, F.col("mass") * tilted).otherwise(0.0)).alias("slope"),
         )
         gap = F.col("target") - F.col("got")
-        ended = (F.abs(gap) <= tolerance * F.greatest(F.lit(1.0), F.col("target"))) | (F.col("slope") <= 0)
-        # A step is held to 2 either way: the dual is convex, so the sequence still settles.
-        move = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.when(F.col("slope") > 0, F.col("slope")).otherwise(1.0)))
-        lam = materialize(sums.select("source", "target", F.when(ended, F.col("lam")).otherwise(F.col("lam") + move).alias("lam"), ended.alias("ended")), small=True)
+        # A source that its caps keep below the target stays at the caps.
+        ended = (F.abs(gap) <= tolerance * F.greatest(F.lit(1.0), F.col("target"))) | ((F.col("slope") <= 0) & (gap > 0))
+        low, high = F.when(gap > 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap < 0, F.col("lam")).otherwise(F.col("hi"))
+        newton = F.col("lam") + gap / F.when(F.col("slope") > 0, F.col("slope"))
+        # Where caps bend the dual, a step that leaves the bracket of the multipliers tried is replaced by the bracket's middle.
+        within = F.coalesce(newton > low, newton.isNotNull()) & F.coalesce(newton < high, newton.isNotNull())
+        tried = F.when(within, F.greatest(F.col("lam") - 2, F.least(F.col("lam") + 2, newton))).otherwise(F.coalesce((low + high) / 2, F.col("lam") + 2 * F.signum(gap)))
+        lam = materialize(sums.select("source", "target", F.when(ended, F.col("lam")).otherwise(tried).alias("lam"), low.alias("lo"), high.alias("hi"), ended.alias("ended")))
         if not lam.filter("not ended").head(1):
-            break
-    return lam.select("source", "lam")
+            return lam.select("source", "lam")
+    raise RuntimeError(f"the dual did not converge in {steps} Newton steps")
 
 
 def mix(docs: DataFrame, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source", prior: str | None = None) -> DataFrame:
@@ -90,9 +95,9 @@ def mix(docs: DataFrame, cap: int = CAP, doc_id: str = "doc_id", text: str = "te
     rows = materialize(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), prior_rate.alias("prior"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**52)).alias("h")))
     stats = rows.groupBy("source", "prior").agg(F.sum("size").cast("double").alias("mass"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, cap), small=True)
+    targets = materialize(source_targets(sizes, cap))
     lam = entropy_balance(stats, targets, cap)
-    plan = materialize(targets.join(lam.withColumnRenamed("source", "of"), F.col("of").eqNullSafe(F.col("source")), "left").drop("of"), small=True)
+    plan = materialize(targets.join(lam.withColumnRenamed("source", "of"), F.col("of").eqNullSafe(F.col("source")), "left").drop("of"))
     rate = F.least(F.lit(float(cap)), F.col("prior") * F.exp("lam"))
     rated = rows.withColumnRenamed("source", "of").join(plan, F.col("of").eqNullSafe(F.col("source"))).drop("of").withColumn("rate", rate)
     # Rates within rounding of a whole number are that number.
@@ -140,20 +145,20 @@ def _thresholds(rated: DataFrame, plan: DataFrame) -> DataFrame:
         others = [c for j in range(FILLS) for c in (f"cut{j}", f"most{j}") if j != k]
         most = F.lit(float("inf")) if k == 0 else F.col("room").cast("double")
         joined = state.join(full, met, "left").select("xsource", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), cut.alias(f"cut{k}"), most.alias(f"most{k}"), *others)
-        state = materialize(joined, small=True)
+        state = materialize(joined)
     gap = F.abs(F.col("room") - F.col("size"))
     near = waiting.join(state, met).filter(~_taken() & (gap < F.col("room")))
     best = near.groupBy("xsource").agg(F.min(F.struct(gap.alias("gap"), F.col("key").alias("last_key"), F.col("doc_id").alias("last_id"))).alias("b"))
     out = state.join(best.withColumnRenamed("xsource", "bsource"), F.col("xsource").eqNullSafe(F.col("bsource")), "left")
-    return materialize(out.select("xsource", *[c for k in range(FILLS) for c in (f"cut{k}", f"most{k}")], F.col("b.last_key").alias("last_key"), F.col("b.last_id").alias("last_id")), small=True)
+    return materialize(out.select("xsource", *[c for k in range(FILLS) for c in (f"cut{k}", f"most{k}")], F.col("b.last_key").alias("last_key"), F.col("b.last_id").alias("last_id")))
 
 
 def expand_copies(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; the columns are those of ``docs``."""
     rows, key = numbered_if_odd(docs)
-    chosen = mix(rows, cap, doc_id=key).select(F.col("doc_id").alias("mixed_id"), "copies").filter("copies > 0")
-    met = rows.join(chosen, rows[key] == F.col("mixed_id"))
-    return met.withColumn("mixed_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[rows[c] for c in docs.columns])
+    chosen = mix(rows, cap, doc_id=key).select(F.col("doc_id").alias("_vellum_mixed"), F.col("copies").alias("_vellum_copies")).filter("_vellum_copies > 0")
+    met = rows.join(chosen, rows[key] == F.col("_vellum_mixed"))
+    return met.withColumn("_vellum_no", F.explode(F.sequence(F.lit(1), F.col("_vellum_copies").cast("int")))).select(*[rows[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

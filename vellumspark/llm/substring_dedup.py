@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytehash import Ranges, mix
-from .common import columns, discard, materialize, shuffle_partitions, table
+from .common import columns, discard, materialize, numbered, shuffle_partitions, table, unique_ids
 from .suffix_array import suffix_array
 
 LENGTH = 100
@@ -333,11 +333,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     kind = rows.schema["doc_id"].dataType.simpleString()
     n = 2 * shuffle_partitions(spark)
-    odd = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
-    if kind in ("tinyint", "smallint", "int", "bigint") and not odd.head(1):
+    if kind in ("tinyint", "smallint", "int", "bigint") and unique_ids(rows):
         rows = rows.withColumn("row_no", F.col("doc_id").cast("long"))
     else:
-        rows = _numbered(rows)
+        rows = numbered(rows)
     runs = rows.select("row_no", "text").mapInArrow(_find_runs(n), _BLOB)
     settled = materialize(runs.groupBy("bucket").applyInArrow(_settle_runs(n), _BLOB), compression="zstd")
     # The same bucket as _bucket() of a document, so that a group of texts meets the group of its blobs.
@@ -354,28 +353,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return cut.select("doc_id", *facts, *[F.col(f"carried_{k}").alias(c) for k, c in enumerate(carried)])
 
 
-def numbered_if_odd(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` and ``doc_id``, or, where doc_ids are null or repeated, ``docs`` with a row number and its name."""
-    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").head(1):
-        return _numbered(docs), "row_no"
-    return docs, "doc_id"
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with row_no, counting in order of doc_id (null first) and text; the driver sees one count a partition."""
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = materialize(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
-    first = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("least")).orderBy("part").collect()
-    before, offsets = 0, {}
-    for r in first:
-        offsets[r["part"]] = before - r["least"]
-        before += r["c"]
-    if not offsets:
-        return rows.withColumn("row_no", F.lit(0).cast("long"))
-    shift = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-    return dealt.select(*rows.columns, (F.col("at") + shift[F.col("part")]).cast("long").alias("row_no"))
-
-
 def _place(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
