@@ -12,7 +12,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import columns, table
@@ -45,23 +45,24 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     by nature (its text is hashed and trained on as a whole); its contexts are kept as offsets, so storage does not
     grow with the square of its turns.
     """
-    rows = columns(turns, conv_id=conv_id, turn=turn, role=role, text=text).select(
-        "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
-    )
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    written = sorted_turns.withColumn(
-        "ts", F.transform("ts", lambda t: F.struct(t.role.alias("role"), F.concat(F.lit(OPEN), escape_role(t.role), F.lit(">\n")).alias("head"), escape(t.text).alias("body")))
+    rows = columns(turns, conv_id=conv_id, turn=turn, role=role, text=text).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    written = rows.select("*", F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(">\n")).alias("head"), escape(F.col("text")).alias("body"))
+    # Offsets are running sums, so a long conversation costs no more than its length; the grouping reuses the window's partitioning.
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    size = F.length("head") + F.length("body") + len(CLOSE)
+    placed = written.select(
+        "conv_id",
+        F.struct(
+            (F.row_number().over(order) - 1).alias("no"),
+            (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("body") - len(CLOSE)).cast("int").alias("start"),
+            F.length("body").alias("length"),
+            (F.col("role") == "assistant").alias("trained"),
+            F.concat("head", "body", F.lit(CLOSE)).alias("piece"),
+        ).alias("t"),
     )
-    whole = F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().cast("array<struct<turn_no:int,start:int,length:int>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["head"])
-        span = F.struct(acc["no"].alias("turn_no"), start.alias("start"), F.length(t["body"]).alias("length"))
-        spans = F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((start + F.length(t["body"]) + len(CLOSE)).alias("at"), (acc["no"] + 1).alias("no"), spans.alias("spans"))
-
-    return written.select("conv_id", whole.alias("formatted"), F.aggregate("ts", zero, step, lambda acc: acc["spans"]).alias("spans"))
+    ts = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    spans = F.transform(F.filter("ts", lambda t: t["trained"]), lambda t: F.struct(t["no"].alias("turn_no"), t["start"].alias("start"), t["length"].alias("length")))
+    return ts.select("conv_id", F.array_join(F.transform("ts", lambda t: t["piece"]), "").alias("formatted"), spans.alias("spans"))
 
 
 def expand_examples(formatted: DataFrame) -> DataFrame:
@@ -89,9 +90,14 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Digests of what ``formatted`` holds, read back from it and from its examples."""
-    loss = expand_examples(formatted).select("conv_id", "turn_no", unescape(F.col("target")).alias("target"))
-    loss = loss.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_no", "target"))), lambda x: x["target"]), "").alias("loss"))
+    """Digests of what ``formatted`` holds, read back from it and from its examples' contexts and targets."""
+    examples = expand_examples(formatted).select("conv_id", "turn_no", unescape(F.col("target")).alias("target"), F.length("context").alias("c"), F.sha2("context", 256).alias("context_sha256"))
+    loss = examples.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_no", "target"))), lambda x: x["target"]), "").alias("loss"),
+        F.count(F.lit(1)).alias("n_examples"),
+        F.sum("c").alias("context_chars"),
+        F.max_by("context_sha256", "turn_no").alias("last_context_sha256"),
+    )
     turns = formatted.select("conv_id", read_turns(F.col("formatted")).alias("ts"), F.length("formatted").cast("long").alias("formatted_chars"))
     joined = turns.join(loss.withColumnRenamed("conv_id", "loss_id"), F.expr("conv_id <=> loss_id"), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
     said = F.array_join(F.transform("ts", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -102,6 +108,9 @@ def digest(formatted: DataFrame) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
+        F.coalesce("n_examples", F.lit(0)).alias("n_examples"),
+        F.coalesce("context_chars", F.lit(0)).alias("context_chars"),
+        "last_context_sha256",
     )
 
 
@@ -118,16 +127,25 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), f AS (
+  SELECT *, '<turn:' || replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l'), '>', chr(92) || 'g') || '>' || chr(10) AS head,
+         replace(replace(text, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM t
+), p AS (
+  SELECT *, sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id ORDER BY k) - length(body) - 8 AS start,
+         max(CASE WHEN role = 'assistant' THEN k END) OVER (PARTITION BY conv_id) AS last_k
+  FROM f
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
-         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
-         sum(length('<turn:') + length(role) + length(role) - length(replace(role, chr(92), ''))
-             + length(role) - length(replace(replace(role, '<', ''), '>', '')) + 2
-             + length(text) + length(text) - length(replace(replace(text, chr(92), ''), '<', '')) + 8) AS formatted_chars
-  FROM t GROUP BY conv_id
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '') AS loss,
+         sum(length(head) + length(body) + 8) AS formatted_chars,
+         count(*) FILTER (role = 'assistant') AS n_examples,
+         coalesce(sum(start) FILTER (role = 'assistant'), 0) AS context_chars,
+         sha256(string_agg(CASE WHEN k < last_k THEN head || body || '</turn>' || chr(10) WHEN k = last_k THEN head END, '' ORDER BY k)) AS last_context_sha256
+  FROM p GROUP BY conv_id
 )
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars, n_examples, CAST(context_chars AS BIGINT) AS context_chars, last_context_sha256
 FROM g
 """
