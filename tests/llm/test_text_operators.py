@@ -43,6 +43,9 @@ def test_chat_examples_have_all_context_and_one_target(spark):
     formatted = chat_format.format_conversations(turns(spark, [(1, k, ("user", "assistant")[k % 2], f"t{k}", "", 0) for k in range(6)]))
     ex = chat_format.expand_examples(formatted).orderBy("turn_no").collect()
     assert [e["target"] for e in ex] == ["t1", "t3", "t5"]
+    facts = chat_format.digest(formatted).collect()[0]
+    assert (facts["n_examples"], facts["context_chars"]) == (3, sum(len(e["context"]) for e in ex))
+    assert facts["last_context_sha256"] == hashlib.sha256(ex[-1]["context"].encode()).hexdigest()
     for e in ex:
         assert e["context"] == "".join(f"<turn:{('user', 'assistant')[k % 2]}>\nt{k}</turn>\n" for k in range(e["turn_no"])) + "<turn:assistant>\n"
 
@@ -81,6 +84,26 @@ def test_url_rules_and_aliases(spark):
     assert got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow")
 
 
+def test_url_aliases_meet_in_their_normal_form(spark):
+    link = '<link rel="canonical" href="{}">'
+    data = [
+        (1, "http://a.com/en/1?x=1&y=2#top", "", "", 0, 0, 0),
+        (2, "http://b.info/", '<link rel="stylesheet" href="s.css">' + link.format("/none") + link.format("HTTP://A.COM/en/1?x=1&amp;y=2"), "", 0, 0, 0),
+        (3, "http://B.info#part", "", "", 0, 0, 0),
+        (4, "http://c.info/long/" + "p" * 50_000, link.format("http://b.info/none"), "", 0, 0, 0),
+        (5, "http://b.info/A", "", "", 0, 0, 0),
+        (6, "http://d.info/a", link.format("http://b.info/a"), "", 0, 0, 0),
+    ]
+    got = dict(rows(url_filter.judge(pages(spark, data)), "page_id", "verdict"))
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow"}
+
+
+def test_url_equally_long_rules(spark):
+    p = pages(spark, [(1, "http://x.org/ab", "", "", 0, 0, 0)])
+    assert rows(url_filter.judge(p, rules=[("x.org", "/a", "block"), ("x.org", "/a", "allow")]), "verdict") == [("allow",)]
+    assert rows(url_filter.judge(p, rules=[("x.org", "/a", "allow"), ("org", "/ab", "block")]), "verdict", "rule") == [("allow", "x.org/a")]
+
+
 def test_url_known_edges_and_empty(spark):
     edges = spark.createDataFrame([("http://x.info/", "http://a.org/es/"), (None, "http://x.info/")], "u string, v string")
     p = pages(spark, [(1, "http://x.info/", "", "", 0, 0, 0), (2, "http://a.org/es/", "", "", 0, 0, 0)])
@@ -101,10 +124,12 @@ def test_license_digests(spark):
         None,
         "Licensed under CC BY-NC 4.0",
         "x " * 100_000,
+        "Copyright Jane Doe\nCopyright: Acme Widgets, Inc.\n\n" + MIT_BODY,
+        "Лицензия. Released under the MIT License.",
     ]
     docs = spark.createDataFrame([(i, t, "k", 0) for i, t in enumerate(variants)] + [(0, variants[0], "k", 0)], "doc_id long, text string, license_id string, c int")
     got = rows(license_scan.scan(docs), "doc_id", "license_id")
-    assert got == sorted([(0, "MIT"), (0, "MIT"), (1, "MIT (titled, the)"), (2, "MIT"), (3, None), (4, None), (5, None), (6, "CC-BY-NC-4.0 (notice)"), (7, None)], key=repr)
+    assert got == sorted([(0, "MIT"), (0, "MIT"), (1, "MIT (titled, the)"), (2, "MIT"), (3, None), (4, None), (5, None), (6, "CC-BY-NC-4.0 (notice)"), (7, None), (8, "MIT"), (9, None)], key=repr)
     assert license_scan.scan(docs.limit(0)).count() == 0
     known = {r["license_id"] for r in license_scan.known_digests(spark).collect()}
     assert known == set(KNOWN)

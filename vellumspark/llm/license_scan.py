@@ -1,7 +1,7 @@
 """Licence scan by canonical digest, in DataFrame functions alone.
 
-A text is normalised (ASCII case, copyright and rights lines, equivalent spellings, punctuation, white space) and its
-SHA-256 is joined with the digests of known licence texts, normalised the same way. Only an entire text
+A text is normalised (case, copyright and rights lines, equivalent spellings, punctuation, white space; letters and digits of all
+scripts stay) and its SHA-256 is joined with the digests of known licence texts, normalised the same way. Only an entire text
 matches; a licence inside a longer text does not.
 
 Defined cases: a null or wordless text has the digest of the empty text and matches nothing; repeated rows are judged alike
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, columns, table
+from .common import columns, table
 from .licenses import KNOWN
 
 #: Pairs of equivalent spellings, applied in order on lower-case text.
@@ -34,18 +34,21 @@ SPELLINGS = [
 ]
 #: A line that only says who holds the copyright, and one that reserves rights.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright\b|\(c\)|©)[^\n]*(?:\d{4}|©|\(c\)|<year>|\[year\])[^\n]*$"
+#: A line that names the holder alone: the word and capitalised names, read before case is folded.
+NAME_LINE = r"(?m)^[^A-Za-z0-9\n]*Copyright:?[ \t]+(?:by[ \t]+)?[A-Z][A-Za-z.'&-]*(?:,?[ \t]+[A-Z][A-Za-z.'&-]*){0,7}[^A-Za-z0-9\n]*$"
 RIGHTS_LINE = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 
 
 def canonical(text: Column) -> Column:
-    """The normal form of a licence text: lower-case ASCII words, joined by one space."""
-    c = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), "\r\n?", "\n")
+    """The normal form of a licence text: its lower-case words, joined by one space."""
+    c = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    c = F.lower(F.when(c.contains("Copyright"), F.regexp_replace(c, NAME_LINE, "")).otherwise(c))
     # The costly patterns run only where a cheap search says that they can match.
     c = F.when(c.contains("copyright") | c.contains("(c)") | c.contains("©"), F.regexp_replace(c, COPYRIGHT_LINE, "")).otherwise(c)
     c = F.when(c.contains("rights reserved"), F.regexp_replace(c, RIGHTS_LINE, "")).otherwise(c)
     for pattern, to in SPELLINGS:
         c = F.regexp_replace(c, pattern, to)
-    return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
@@ -74,13 +77,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    sql = f"regexp_replace(translate(coalesce({text}, ''), '{upper}', '{lower}'), '\\r\\n?', chr(10), 'g')"
+    names = NAME_LINE.replace("'", "''")
+    sql = f"lower(regexp_replace(regexp_replace(coalesce({text}, ''), '\\r\\n?', chr(10), 'g'), '{names}', '', 'g'))"
     for pattern in (COPYRIGHT_LINE, RIGHTS_LINE):
         sql = f"regexp_replace({sql}, '{pattern}', '', 'g')"
     for pattern, to in SPELLINGS:
         sql = f"regexp_replace({sql}, '{pattern}', '{to}', 'g')"
-    return f"trim(regexp_replace({sql}, '[^a-z0-9]+', ' ', 'g'))"
+    return f"trim(regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 def oracle() -> str:
