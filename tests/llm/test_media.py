@@ -69,14 +69,73 @@ def test_query_digests(spark):
     texts = [None, "", "a", "x" * 64, "é" * 5000, "y" * 300_000, "a"]
     docs = spark.createDataFrame([(i, t, b"") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
     stored = m.store_texts(docs)
-    got = {r["doc_id"]: r for r in stored.mapInArrow(m._digest, f"doc_id long, {m._DIGEST}").collect()}
+    got = {r["doc_id"]: r for r in m.read_back(stored).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         pad = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(pad))
+        assert r["whole"] and r["frames"] == len(r["seek_offsets"]) and r["duration_s"] == r["samples"] / 48000 == r["frames"] * 1152 / 48000
         assert r["payload_sha256"] == hashlib.sha256(pad).hexdigest() and r["tail_crc32"] == zlib.crc32(pad[-64:])
     assert tuple(got[2])[1:] == tuple(got[6])[1:] and got[0]["media_sha256"] == got[1]["media_sha256"]
     facts = m.index_media(stored).collect()
     assert all(f["frames"] == len(f["seek_offsets"]) == f["vbr_frames"] and f["duration_s"] == f["samples"] / 48000 for f in facts)
     assert m.store_texts(docs.limit(0)).count() == 0
+
+
+def _crc_by_bits(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ b) & 1 else 0)) & 0xFFFF
+    return crc
+
+
+def _bits(data):
+    return [byte >> 7 - k & 1 for byte in data for k in range(8)]
+
+
+def test_checksums_of_layers_one_and_two():
+    """Frames of random bodies, their checksums set by a bit-by-bit reading of what each layer protects."""
+    rnd = random.Random(3)
+    # (second byte, third byte, fourth byte, protected bits after the header as a function of the body)
+    one = lambda channels, bound: lambda body: 4 * (channels * bound + 32 - bound)
+
+    def two(widths, channels, bound):
+        def count(body):
+            bits, at, used = _bits(body), 0, 0
+            for k, w in enumerate(widths):
+                for _ in range(channels if k < bound else 1):
+                    used += (channels if k >= bound else 1) * any(bits[at : at + w])
+                    at += w
+            return at + 2 * used
+
+        return count
+
+    wide, widest, narrow, low = [4] * 11 + [3] * 12 + [2] * 4, [4] * 11 + [3] * 12 + [2] * 7, [4] * 2 + [3] * 6, [4] * 4 + [3] * 7 + [2] * 19
+    cases = [
+        (0xFE, 0xC0, 0x00, one(2, 32)), (0xFE, 0xC0, 0xC0, one(1, 32)), (0xFE, 0xC0, 0x50, one(2, 8)),
+        (0xFC, 0xA4, 0x00, two(wide, 2, 32)), (0xFC, 0xC0, 0x00, two(widest, 2, 32)), (0xFC, 0x24, 0xC0, two(narrow, 1, 32)), (0xFC, 0xA4, 0x60, two(wide, 2, 12)),
+        (0xF4, 0xA0, 0x00, two(low, 2, 32)),
+    ]
+    for second, third, fourth, count in cases:
+        head = bytes([0xFF, second, third, fourth])
+        h = m.read_header(head)
+        frames = []
+        for _ in range(4):
+            body = rnd.randbytes(h.size - 6).replace(b"\xff", b"\x7f")
+            crc = _crc_by_bits(_bits(head[2:]) + _bits(body)[: count(body)])
+            frames.append(head + crc.to_bytes(2, "big") + body)
+        s = m.parse(b"".join(frames))
+        assert (s.crc_good, s.crc_bad, len(s.offsets)) == (4, 0, 4), (h, s.crc_good, s.crc_bad)
+        damaged = bytearray(b"".join(frames))
+        damaged[h.size + 6] ^= 0x10
+        assert m.parse(bytes(damaged)).crc_bad == 1
+
+
+def test_damage_is_a_status(spark):
+    whole = m.pack(b"x" * 4000)
+    bad = bytearray(whole)
+    bad[m.parse(whole).offsets[1] + 8] ^= 4
+    assert m.unpack(whole) == b"x" * 4000 and m.unpack(bytes(bad)) is None and m.unpack(b"") is None and m.unpack(whole[:2000]) is None
+    rows = m.read_back(spark.createDataFrame([(1, 4000, whole), (1, 4000, whole), (2, 4000, bytes(bad))], "doc_id long, n_bytes long, media binary")).collect()
+    assert sorted((r["doc_id"], r["whole"], r["payload_bytes"]) for r in rows) == [(1, True, 4000), (1, True, 4000), (2, False, 0)]

@@ -2,7 +2,7 @@
 
 ``parse`` reads an MPEG audio stream (versions 1, 2, 2.5; layers I to III): it skips an ID3v2 tag, finds frames by their headers,
 resynchronises after damage (a header counts if the next one follows where it says, or the stream ends there), reads
-the Xing, Info or VBRI table, checks each frame's CRC-16 where it has one, and gives the exact duration and each frame's
+the Xing, Info or VBRI table, checks each frame's CRC-16 (of any layer) where it has one, and gives the exact duration and each frame's
 offset. ``pack`` stores any bytes losslessly in a valid stream: silent MPEG-1 layer III mono frames at 48 kHz with CRC,
 whose main data is all ancillary; a variable bit rate fits the last frame, an Info frame holds counts and a seek
 table, an ID3v2 tag the payload's length and an ID3v1 tag the title.
@@ -44,13 +44,29 @@ UNIT = 64
 OUT_ROWS = 128
 
 
-@lru_cache(maxsize=65536)
-def crc16(data: bytes) -> int:
-    crc = CRC_START
-    for byte in data:
-        crc ^= byte << 8
+def _crc_table() -> list[int]:
+    table = []
+    for byte in range(256):
+        crc = byte << 8
         for _ in range(8):
             crc = ((crc << 1) ^ CRC_POLY if crc & 0x8000 else crc << 1) & 0xFFFF
+        table.append(crc)
+    return table
+
+
+_CRC = _crc_table()
+
+
+@lru_cache(maxsize=65536)
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of the first ``bits`` bits of ``data``, or of all."""
+    whole, rest = divmod(8 * len(data) if bits is None else bits, 8)
+    crc = CRC_START
+    for byte in data[:whole]:
+        crc = (crc << 8) & 0xFFFF ^ _CRC[crc >> 8 ^ byte]
+    for k in range(rest):
+        top = crc >> 15 ^ data[whole] >> 7 - k & 1
+        crc = (crc << 1) & 0xFFFF ^ (CRC_POLY if top else 0)
     return crc
 
 
@@ -64,6 +80,7 @@ class Header:
     mono: bool
     size: int
     samples: int
+    bound: int = 32  #: subbands from here on share their bit allocation (joint stereo of layers I and II)
 
     @property
     def side(self) -> int:
@@ -86,7 +103,8 @@ def read_header(four: bytes) -> Header | None:
     else:
         samples = 576 if layer == 3 and version != 3 else 1152
         size = samples // 8 * 1000 * kbps // rate + padding
-    return Header(version, layer, not four[1] & 1, kbps, rate, four[3] >> 6 == 3, size, samples)
+    bound = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 and layer < 3 else 32
+    return Header(version, layer, not four[1] & 1, kbps, rate, four[3] >> 6 == 3, size, samples, bound)
 
 
 def syncsafe(four: bytes) -> int:
@@ -149,9 +167,50 @@ class Stream:
         return self.samples, self.rate or 1
 
 
-def _protected_part(data: bytes, at: int, h: Header) -> bytes | None:
-    """The bytes that a layer III frame's CRC covers; other layers' bit allocations are not decoded, so theirs is unknown."""
-    return data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side] if h.layer == 3 else None
+# Fixed values of ISO/IEC 11172-3 and 13818-3, layer II: (subbands, bits of each one's allocation) runs, lowest subband first.
+ALLOCATION = {
+    "wide": ((11, 4), (12, 3), (4, 2)),
+    "widest": ((11, 4), (12, 3), (7, 2)),
+    "narrow": ((2, 4), (6, 3)),
+    "narrow 32 kHz": ((2, 4), (10, 3)),
+    "low rates": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation(h: Header) -> list[int]:
+    """Bits of each subband's allocation in a layer II frame."""
+    each = h.kbps // (1 if h.mono else 2)
+    if h.version != 3:
+        name = "low rates"
+    elif each < 56:
+        name = "narrow 32 kHz" if h.rate == 32000 else "narrow"
+    else:
+        name = "widest" if each >= 96 and h.rate != 48000 else "wide"
+    return [bits for n, bits in ALLOCATION[name] for _ in range(n)]
+
+
+def _protected_bits(data: bytes, at: int, h: Header) -> tuple[bytes, int] | None:
+    """The bytes that a frame's CRC covers and how many of their bits: half the header, then layer III's side information, layer I's bit
+    allocation, or layer II's allocation and scale factor selection; None where the frame is too short for them."""
+    head, body = data[at + 2 : at + 4], at + 6
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        bits = 8 * h.side
+    elif h.layer == 1:
+        bits = 4 * (channels * min(h.bound, 32) + 32 - min(h.bound, 32))
+    else:
+        widths = _allocation(h)
+        window = int.from_bytes(data[body : body + 64].ljust(64, b"\0"), "big")
+        bits = used = 0
+        for k, width in enumerate(widths):
+            shared = k >= h.bound
+            for _ in range(1 if shared else channels):
+                value = window >> 512 - bits - width & (1 << width) - 1
+                used += (channels if shared else 1) * (value > 0)
+                bits += width
+        bits += 2 * used
+    n = -(-bits // 8)
+    return (head + data[body : body + n], 16 + bits) if body + n <= at + h.size else None
 
 
 def parse(data: bytes | None) -> Stream:
@@ -183,8 +242,8 @@ def parse(data: bytes | None) -> Stream:
         locked = True
         vbr = _vbr(data, at, h) if first else None
         first = False
-        if h.protected and (part := _protected_part(data, at, h)) is not None:
-            good = crc16(part) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.protected and (part := _protected_bits(data, at, h)) is not None:
+            good = crc16(*part) == int.from_bytes(data[at + 4 : at + 6], "big")
             out.crc_good += good
             out.crc_bad += not good
         if vbr:
@@ -239,15 +298,14 @@ def pack(payload: bytes, title: bytes = b"payload") -> bytes:
     return v2 + table_frame + audio + v1
 
 
-def unpack(data: bytes, stream: Stream | None = None) -> bytes:
-    """The payload of a stream that ``pack`` wrote; damage that costs payload bytes is an error."""
+def unpack(data: bytes, stream: Stream | None = None) -> bytes | None:
+    """The payload of a stream that ``pack`` wrote, or None where damage has cost payload bytes."""
     stream = stream or parse(data)
-    n = int(stream.tags["TXXX"].rpartition(b"\0")[2])
+    size = stream.tags.get("TXXX", b"").rpartition(b"\0")[2]
     view = memoryview(data)
     out = b"".join(view[at + _OVERHEAD : at + h.size] for at, h in zip(stream.offsets, stream.headers, strict=True))
-    if len(out) < n or stream.crc_bad:
-        raise ValueError("the stream does not hold its whole payload")
-    return out[:n]
+    whole = size.isdigit() and len(out) >= int(size) and not stream.crc_bad and (stream.vbr or {}).get("frames") == len(stream.offsets)
+    return out[: int(size)] if whole else None
 
 
 def pad(data: bytes, unit: int = UNIT) -> bytes:
@@ -305,11 +363,11 @@ def index_media(media: DataFrame, media_id: str = "doc_id", data: str = "media")
     return rows.mapInArrow(_index, f"media_id {rows.schema['media_id'].dataType.simpleString()}, {_INDEX}")
 
 
-_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, samples long, duration_s double, seek_offsets array<bigint>, whole boolean"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.bool_()]
     names = [c.split()[0] for c in _DIGEST.split(", ")]
     for batch in batches:
         for at in range(0, batch.num_rows, OUT_ROWS):
@@ -317,12 +375,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for n, media in zip(part.column("n_bytes").to_pylist(), part.column("media").to_pylist(), strict=True):
                 stream = parse(media)
-                payload = unpack(media, stream)
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream)))
+                found = unpack(media, stream)
+                payload = found or b""
+                facts = (len(stream.offsets), stream.samples, stream.samples / (stream.rate or 1), stream.offsets, found is not None)
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream), *facts))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", *names])
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = store_texts(table(spark, sf_dir, "documents"))
+def read_back(stored: DataFrame) -> DataFrame:
+    """Digests of what ``store_texts`` stored, with each stream's frames, exact duration and seek offsets; a damaged value has ``whole`` false and an empty payload."""
     return stored.mapInArrow(_digest, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {_DIGEST}")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(store_texts(table(spark, sf_dir, "documents")))
