@@ -1,4 +1,4 @@
-"""Quantiles by the exclusive method, and rates."""
+"""Quantiles by the exclusive method."""
 
 from __future__ import annotations
 
@@ -13,7 +13,3 @@ def exclusive_quantile(ordered: Column, i: int, n: int) -> Column:
     delta = i * (size + 1) - at * n
     between = (F.element_at(ordered, at) * (n - delta) + F.element_at(ordered, at + 1) * delta) / n
     return F.when(size > 1, between).when(size == 1, F.get(ordered, F.lit(0)))
-
-
-def per_second(latency: Column) -> Column:
-    return F.count(latency) / F.nullif(F.sum(latency), F.lit(0.0))

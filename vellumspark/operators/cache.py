@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TTL_SECONDS, CAPACITY = 300.0, 1000
+TTL_SECONDS, CAPACITY = 300.0, 10_000
 
 
 class ResultCache:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import exclusive_quantile
-
 
 def summary(rows: DataFrame, latency: str, by: list[str] | None = None) -> DataFrame:
     """Least, greatest and mean latency, runs, and runs per second of latency."""
@@ -17,23 +15,25 @@ def summary(rows: DataFrame, latency: str, by: list[str] | None = None) -> DataF
 
 
 def quantiles(rows: DataFrame, latency: str, by: list[str]) -> DataFrame:
-    """Mean, p95 and p99 (exclusive) of each group.
+    """Mean, p95 and p99 (exclusive) of each group, of any size."""
+    means = rows.groupBy(*by).agg(F.round(F.avg(latency), 6).alias("mean_time"))
+    return means.join(ranked_quantiles(rows, latency, by), by).select(*by, "mean_time", "p95", "p99")
 
-    Each group's values meet in one task, which suits windows and shards; a whole table goes through ``ranked_quantiles``.
-    """
-    ordered = rows.groupBy(*by).agg(F.sort_array(F.collect_list(latency)).alias("xs"), F.avg(latency).alias("mean"))
-    return ordered.select(*by, F.round("mean", 6).alias("mean_time"), F.round(exclusive_quantile(F.col("xs"), 19, 20), 6).alias("p95"), F.round(exclusive_quantile(F.col("xs"), 99, 100), 6).alias("p99"))
 
+def ranked_quantiles(rows: DataFrame, latency: str, by: list[str] | None = None) -> DataFrame:
+    """p95 and p99 (exclusive) of a whole table or of its groups: values are counted, counts summed in order, and only the cut's neighbours kept.
 
-def ranked_quantiles(rows: DataFrame, latency: str) -> DataFrame:
-    """p95 and p99 (exclusive) of a whole table: values are counted, counts summed in order, and only the cut's neighbours kept."""
-    freq = rows.filter(F.col(latency).isNotNull()).groupBy(latency).agg(F.count(F.lit(1)).alias("c"))
-    total = freq.agg(F.sum("c").alias("total"))
-    # Prefix sums by coarse bins of the value first: no task orders the whole table.
+    No task orders a whole group: prefix sums run over coarse bins of the value first, then inside each bin. A group
+    has some thousand bins at most.
+    """
+    by = by or []
+    freq = rows.filter(F.col(latency).isNotNull()).groupBy(*by, latency).agg(F.count(F.lit(1)).alias("c"))
     binned = freq.withColumn("bin", F.floor(F.log2(1 + F.abs(F.col(latency))) * 64) * F.signum(latency))
-    per_bin = binned.groupBy("bin").agg(F.sum("c").alias("bc")).withColumn("before", F.sum("bc").over(Window.orderBy("bin")) - F.col("bc"))
-    run = Window.partitionBy("bin").orderBy(latency)
-    placed = binned.join(F.broadcast(per_bin), "bin").withColumn("hi", F.col("before") + F.sum("c").over(run)).crossJoin(F.broadcast(total))
+    inside = Window.partitionBy(*by)
+    per_bin = binned.groupBy(*by, "bin").agg(F.sum("c").alias("bc"))
+    per_bin = per_bin.select(*by, "bin", (F.sum("bc").over(inside.orderBy("bin")) - F.col("bc")).alias("before"), F.sum("bc").over(inside).alias("total"))
+    run = Window.partitionBy(*by, "bin").orderBy(latency)
+    placed = binned.join(per_bin, [*by, "bin"]).withColumn("hi", F.col("before") + F.sum("c").over(run))
 
     def cut(i: int, n: int) -> tuple[Column, Column]:
         at = F.greatest(F.lit(1), F.least(F.floor(i * (F.col("total") + 1) / n), F.col("total") - 1))
@@ -46,20 +46,20 @@ def ranked_quantiles(rows: DataFrame, latency: str) -> DataFrame:
         high = F.max(F.when((F.col("hi") >= at + 1) & (F.col("hi") - F.col("c") < at + 1), F.col(latency)))
         d = F.max(delta)
         out.append(F.round((low * (n - d) + F.coalesce(high, low) * d) / n, 6).alias(f"p{100 * i // n}"))
-    return placed.agg(*out)
+    return placed.groupBy(*by).agg(*out)
 
 
 def tumbling(rows: DataFrame, latency: str, hit: Column, width: str, ts: str = "ts") -> DataFrame:
     """Mean, p95 and hit rate of each tumbling window that has rows."""
-    windowed = rows.groupBy(F.window(F.col(ts).cast("timestamp"), width).alias("w"))
-    agg = windowed.agg(F.sort_array(F.collect_list(latency)).alias("xs"), F.avg(latency).alias("m"), F.avg(hit.cast("int")).alias("h"), F.count(F.lit(1)).alias("n_queries"))
-    return agg.select(F.col("w.start").alias("window_start"), "n_queries", F.round("m", 6).alias("avg_time"), F.round(exclusive_quantile(F.col("xs"), 19, 20), 6).alias("p95"), F.round("h", 6).alias("hit_rate"))
+    windowed = rows.select(F.window(F.col(ts).cast("timestamp"), width)["start"].alias("window_start"), F.col(latency).alias("x"), hit.cast("int").alias("hit"))
+    agg = windowed.groupBy("window_start").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("x"), 6).alias("avg_time"), F.round(F.avg("hit"), 6).alias("hit_rate"))
+    cuts = ranked_quantiles(windowed, "x", ["window_start"]).drop("p99")
+    return agg.join(cuts, "window_start", "left").select("window_start", "n_queries", "avg_time", "p95", "hit_rate")
 
 
-def shard_timings(queries: DataFrame, times: str = "shard_times") -> DataFrame:
-    """Mean and p95 by position in the list of shard times, which is the order of completion."""
-    each = queries.select(F.posexplode(times).alias("pos", "t"))
-    return quantiles(each, "t", ["pos"]).select("pos", "mean_time", "p95")
+def shard_timings(each: DataFrame, pos: str = "pos", time: str = "t") -> DataFrame:
+    """Mean and p95 by position in a query's list of shard times, which is the order of completion; a row a shard and query."""
+    return quantiles(each, time, [pos]).select(F.col(pos).alias("pos"), "mean_time", "p95")
 
 
 def improvement(engine: DataFrame, baseline: DataFrame, by: str) -> DataFrame:

@@ -1,12 +1,16 @@
-"""Keyword search over batches of queries. Ties go to the lower document id."""
+"""Keyword search over batches of queries. Ties go to the lower document id.
+
+Searches read a stored ``Index``; handed documents (doc_id, text) instead, they index the asked terms on the fly.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms, tokens
 from .index import POSTING_LIMIT, capped_postings, document_frequency, term_table
+from .store import Index
 
 TOP = 100
 
@@ -21,35 +25,50 @@ def top_per_query(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def _asked(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The query terms, and the postings of those terms alone: all others are dropped before any shuffle of postings."""
-    asked = query_terms(queries)
-    pairs = term_table(docs).join(asked.select("term").distinct(), "term", "left_semi")
-    return asked, pairs
+def _hits(source: DataFrame | Index, asked: DataFrame, limit: int | None) -> DataFrame:
+    """``query_id, term, df, doc_id``."""
+    if isinstance(source, Index):
+        return source.hits(asked, limit)
+    # The postings of the asked terms alone: all others are dropped before any shuffle of postings.
+    pairs = term_table(source).join(asked.select("term").distinct(), "term", "left_semi")
+    return asked.join(document_frequency(pairs), "term").join(capped_postings(pairs, limit), "term")
+
+
+def _size(source: DataFrame | Index, spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(source.meta["documents"]).alias("total")) if isinstance(source, Index) else source.agg(F.count(F.lit(1)).alias("total"))
+
 
+def search_idf(source: DataFrame | Index, queries: DataFrame, k: int = TOP, limit: int | None = POSTING_LIMIT, prefilter: bool = False) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the sum of 1 / df over the query's terms that list the document.
 
-def search_idf(docs: DataFrame, queries: DataFrame, k: int = TOP, limit: int | None = POSTING_LIMIT) -> DataFrame:
-    """``query_id, doc_id, score, rank``: the sum of 1 / df over the query's terms that list the document."""
-    asked, pairs = _asked(docs, queries)
-    weight = document_frequency(pairs).select("term", (1.0 / F.greatest(F.lit(1), F.col("df"))).alias("w"))
-    hits = asked.join(weight, "term").join(capped_postings(pairs, limit), "term")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    With ``prefilter`` an index's Bloom filter denies unknown terms before any list is read.
+    """
+    asked = query_terms(queries)
+    hits = _hits(source, source.known(asked) if prefilter else asked, limit)
+    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / F.greatest(F.lit(1), F.col("df"))), 6).alias("score"))
     return top_per_query(scored, k)
 
 
-def search_coordination(docs: DataFrame, queries: DataFrame, k: int = TOP, limit: int | None = POSTING_LIMIT) -> DataFrame:
+def search_coordination(source: DataFrame | Index, queries: DataFrame, k: int = TOP, limit: int | None = POSTING_LIMIT) -> DataFrame:
     """``query_id, doc_id, score, match_positions, rank``: matched terms over the number of documents."""
-    asked, pairs = _asked(docs, queries)
-    hits = asked.join(capped_postings(pairs, limit), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("m"))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    hits = _hits(source, query_terms(queries), limit).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    total = _size(source, queries.sparkSession)
     scored = hits.crossJoin(F.broadcast(total)).select("query_id", "doc_id", F.round(F.col("m") / F.greatest(F.lit(1), F.col("total")), 9).alias("score"), F.array_repeat(F.lit(1), F.col("m")).alias("match_positions"))
     return top_per_query(scored, k)
 
 
-def unmatched_terms(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def posting_hits(source: DataFrame | Index, queries: DataFrame, limit: int | None = POSTING_LIMIT) -> DataFrame:
+    """``term, doc_id, hits``: how many of the queries read each posting."""
+    return _hits(source, query_terms(queries), limit).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def unmatched_terms(source: DataFrame | Index, queries: DataFrame) -> DataFrame:
     """Query terms that no document has."""
     asked = query_terms(queries)
-    known = term_table(docs).join(asked.select("term").distinct(), "term", "left_semi").select("term").distinct()
+    if isinstance(source, Index):
+        known = source.terms.select("term")
+    else:
+        known = term_table(source).join(asked.select("term").distinct(), "term", "left_semi").select("term").distinct()
     return asked.join(known, "term", "left_anti").select("query_id", "term")
 
 

@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import terms
 from ..operators import bloom, index, ring, search
 from ..sources.tables import documents, query_log, table
+from .indexes import stored_index
 from .sql import ASKED, CAP, DF, LOG, TERMS, TOK, h
 
-BITS_PER_TERM_P = 0.01
+FALSE_POSITIVES, SUB_SHARDS = 0.01, 4
 SHARDS = 16
-#: The Bloom queries size their filter for so many terms.
-ITEMS = 100_000
-SIZE = bloom.size_for(ITEMS, BITS_PER_TERM_P, 1)
-CASCADE = bloom.cascade_sizes(ITEMS)
-SUB_SHARDS = 4
-SUB_SIZE = bloom.size_for(ITEMS // SUB_SHARDS, BITS_PER_TERM_P, 1)
+#: The cascade's first rate and its levels; each level halves the rate.
+FIRST_RATE, LEVELS = 0.1, 4
 
 
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +35,9 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = index.term_table(documents(spark, sf_dir)).filter(F.col("term") == "the")
-    return index.capped_postings(pairs)
+    """One term's list, read from its shard of the stored index alone."""
+    found = stored_index(spark, sf_dir).lists_of("the")
+    return found.select(F.explode("doc_ids").alias("doc_id"), "term")
 
 
 def postings_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +47,8 @@ def postings_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = index.capped_postings(index.term_table(documents(spark, sf_dir)))
-    return search.live_postings(pairs, table(spark, sf_dir, "labels").filter("toxic = 0")).select("term", "doc_id")
+    stored = stored_index(spark, sf_dir).terms.select("term", F.explode("doc_ids").alias("doc_id"))
+    return search.live_postings(stored, table(spark, sf_dir, "labels").filter("toxic = 0")).select("term", "doc_id")
 
 
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,35 +57,43 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bloom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = index.document_frequency(index.term_table(documents(spark, sf_dir))).agg(F.count(F.lit(1)).alias("n"))
+    n = stored_index(spark, sf_dir).terms.agg(F.count(F.lit(1)).alias("n"))
     rates = n.select("n", F.explode(F.array(*[F.lit(p) for p in (0.1, 0.05, 0.025, 0.0125, 0.01)])).alias("p"))
     bits, hashes = bloom.size_columns(F.col("n").cast("double"), F.col("p"))
     return rates.select("n", "p", bits.alias("bits"), hashes.alias("hashes"))
 
 
-def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.term_table(documents(spark, sf_dir)).select("term").distinct()
+def _distinct(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The distinct terms and their number, by which filters are sized."""
+    stored = stored_index(spark, sf_dir)
+    return stored.terms.select("term"), stored.meta["terms"]
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.query_terms(query_log(spark, sf_dir)).select("term").distinct()
 
 
 def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.build(_distinct(spark, sf_dir), SIZE)
+    known, n = _distinct(spark, sf_dir)
+    return bloom.build(known, bloom.size_for(n, FALSE_POSITIVES, 1))
 
 
 def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = search.query_terms(query_log(spark, sf_dir)).select("term").distinct()
-    return bloom.probe(asked, bloom.build(_distinct(spark, sf_dir), SIZE), SIZE)
+    """The stored filter, probed."""
+    stored = stored_index(spark, sf_dir)
+    return bloom.probe(_asked(spark, sf_dir), stored.bloom_words, stored.bloom_size)
 
 
 def cascade_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = search.query_terms(query_log(spark, sf_dir)).select("term").distinct()
-    return bloom.cascade_probe(asked, _distinct(spark, sf_dir), CASCADE)
+    known, n = _distinct(spark, sf_dir)
+    return bloom.cascade_probe(_asked(spark, sf_dir), known, bloom.cascade_sizes(n, FIRST_RATE, LEVELS))
 
 
 def sharded_bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shard = bloom.bloom_shard(F.col("term"), SUB_SHARDS)
-    built = bloom.build(_distinct(spark, sf_dir).withColumn("bloom_shard", shard), SUB_SIZE, ["bloom_shard"])
-    asked = search.query_terms(query_log(spark, sf_dir)).select("term").distinct().withColumn("bloom_shard", shard)
-    return bloom.probe(asked, built, SUB_SIZE, ["bloom_shard"])
+    known, n = _distinct(spark, sf_dir)
+    size, shard = bloom.size_for(n // SUB_SHARDS, FALSE_POSITIVES, 1), bloom.bloom_shard(F.col("term"), SUB_SHARDS)
+    built = bloom.build(known.withColumn("bloom_shard", shard), size, ["bloom_shard"])
+    return bloom.probe(_asked(spark, sf_dir).withColumn("bloom_shard", shard), built, size, ["bloom_shard"])
 
 
 def ring_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +101,11 @@ def ring_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ring_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ring.lookup(_distinct(spark, sf_dir), ring.ring(spark, SHARDS))
+    return ring.lookup(_distinct(spark, sf_dir)[0], ring.ring(spark, SHARDS))
 
 
 def shard_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = index.document_frequency(index.term_table(documents(spark, sf_dir)))
-    placed = ring.lookup(df, ring.ring(spark, SHARDS))
+    placed = ring.lookup(stored_index(spark, sf_dir).terms.select("term", "df"), ring.ring(spark, SHARDS))
     return placed.groupBy("shard_id").agg(F.sum("df").alias("n_terms"))
 
 
@@ -117,18 +122,28 @@ QUERIES = {
 }
 
 
-def _build_sql(size: bloom.Size, by: str = "", name: str = "words", source: str = "terms") -> str:
+def _size_sql(name: str, p: float, items: str = "count(*)") -> str:
+    """A filter's size from the number of terms, as ``size_for`` has it."""
+    return f"""{name}_m AS (SELECT n, CAST(greatest(1, floor(-n * ln({p}::DOUBLE) / (ln(2) * ln(2)))) AS BIGINT) AS bits FROM (SELECT greatest(1, {items}) AS n FROM terms)),
+{name}_size AS (SELECT bits, CAST(greatest(1, floor(bits / n * ln(2))) AS BIGINT) AS hashes FROM {name}_m)"""
+
+
+def _pos_sql(source: str, name: str) -> str:
+    return f"(SELECT *, {h('k', 'term')} % bits AS p FROM (SELECT s.*, bits, unnest(range(hashes)) AS k FROM {source} s, {name}_size))"
+
+
+def _build_sql(name: str = "words", by: str = "") -> str:
     lead = f"{by}, " if by else ""
-    hashes = f"pos AS (SELECT {lead}term, ({h('k', 'term')} % {size.bits}) AS p FROM {source}, range({size.hashes}) r(k))"
-    return hashes.replace("pos AS", f"{name}_pos AS") + f", {name} AS (SELECT {lead}p // 32 AS word_idx, bit_or(1::BIGINT << CAST(p % 32 AS INTEGER)) AS word FROM {name}_pos GROUP BY ALL)"
+    return f"{name} AS (SELECT {lead}p // 32 AS word_idx, bit_or(1::BIGINT << CAST(p % 32 AS INTEGER)) AS word FROM {_pos_sql('terms', name)} GROUP BY ALL)"
 
 
-def _probe_sql(size: bloom.Size, words: str, by: str = "") -> str:
+def _probe_sql(name: str = "words", by: str = "") -> str:
     lead, on = (f"a.{by}, ", f"w.{by} = a.{by} AND ") if by else ("", "")
     return f"""SELECT {lead}term, bool_and((coalesce(word, 0) >> CAST(p % 32 AS INTEGER)) & 1 = 1) AS maybe
-FROM (SELECT *, {h('k', 'term')} % {size.bits} AS p FROM wanted, range({size.hashes}) r(k)) a LEFT JOIN {words} w ON {on}w.word_idx = p // 32 GROUP BY ALL"""
+FROM {_pos_sql('wanted', name)} a LEFT JOIN {name} w ON {on}w.word_idx = p // 32 GROUP BY ALL"""
 
 
+_RATES = [FIRST_RATE * 0.5**level for level in range(LEVELS)]
 TERMS_CTE = "terms AS (SELECT DISTINCT term FROM tok)"
 WANTED = "wanted AS (SELECT DISTINCT term FROM asked)"
 RING = f"ring AS (SELECT {h('0', 's::VARCHAR || chr(58) || v::VARCHAR')} AS pos, CAST(s AS INTEGER) AS shard_id FROM range({SHARDS}) a(s), range({ring.VIRTUAL_NODES}) b(v))"
@@ -147,15 +162,15 @@ SQL = {
     "latest_version": "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
     "bloom_size": f"""WITH {TOK}, n AS (SELECT count(DISTINCT term) AS n FROM tok), m AS (SELECT n, p, CAST(floor(-n * ln(p) / (ln(2) * ln(2))) AS BIGINT) AS bits
 FROM n, (VALUES (0.1::DOUBLE), (0.05::DOUBLE), (0.025::DOUBLE), (0.0125::DOUBLE), (0.01::DOUBLE)) v(p)) SELECT n, p, bits, CAST(floor(bits / n * ln(2)) AS BIGINT) AS hashes FROM m""",
-    "bloom_bits": f"WITH {TOK}, {TERMS_CTE}, {_build_sql(SIZE)} SELECT word_idx, word FROM words",
-    "bloom_probe": f"WITH {TOK}, {TERMS_CTE}, {LOG}, {ASKED}, {WANTED}, {_build_sql(SIZE)} {_probe_sql(SIZE, 'words')}",
+    "bloom_bits": f"WITH {TOK}, {TERMS_CTE}, {_size_sql('words', FALSE_POSITIVES)}, {_build_sql()} SELECT word_idx, word FROM words",
+    "bloom_probe": f"WITH {TOK}, {TERMS_CTE}, {LOG}, {ASKED}, {WANTED}, {_size_sql('words', FALSE_POSITIVES)}, {_build_sql()} {_probe_sql()}",
     "cascade_probe": f"WITH {TOK}, {TERMS_CTE}, {LOG}, {ASKED}, {WANTED}, "
-    + ", ".join(_build_sql(s, name=f"l{i}") for i, s in enumerate(CASCADE))
+    + ", ".join(f"{_size_sql(f'l{i}', p)}, {_build_sql(f'l{i}')}" for i, p in enumerate(_RATES))
     + " SELECT term, bool_and(maybe) AS maybe FROM ("
-    + " UNION ALL ".join(_probe_sql(s, f"l{i}") for i, s in enumerate(CASCADE))
+    + " UNION ALL ".join(_probe_sql(f"l{i}") for i in range(LEVELS))
     + ") GROUP BY term",
     "sharded_bloom_probe": f"WITH {TOK}, terms AS (SELECT term, CAST({h('-1', 'term')} % {SUB_SHARDS} AS INTEGER) AS bloom_shard FROM (SELECT DISTINCT term FROM tok)), {LOG}, {ASKED}, "
-    + f"wanted AS (SELECT term, CAST({h('-1', 'term')} % {SUB_SHARDS} AS INTEGER) AS bloom_shard FROM (SELECT DISTINCT term FROM asked)), {_build_sql(SUB_SIZE, 'bloom_shard')} {_probe_sql(SUB_SIZE, 'words', 'bloom_shard')}",
+    + f"wanted AS (SELECT term, CAST({h('-1', 'term')} % {SUB_SHARDS} AS INTEGER) AS bloom_shard FROM (SELECT DISTINCT term FROM asked)), {_size_sql('words', FALSE_POSITIVES, f'count(*) // {SUB_SHARDS}')}, {_build_sql('words', 'bloom_shard')} {_probe_sql('words', 'bloom_shard')}",
     "ring_positions": f"WITH {RING} SELECT pos, shard_id FROM ring",
     "ring_lookup": f"WITH {TOK}, {TERMS_CTE}, {RING}, {LOOKUP} SELECT term, shard_id FROM placed",
     "shard_distribution": f"WITH {TOK}, {TERMS_CTE}, {DF}, {RING}, {LOOKUP}, {_N_TERMS} SELECT shard_id, n_terms FROM n_terms",

@@ -7,39 +7,51 @@ from pyspark.sql import functions as F
 
 from ..operators import search
 from ..sources.tables import documents, query_log, table
+from .indexes import stored_index
 from .sql import ASKED, CAP, DF, LOG, TOK, WORDS, top
 
 
+ONE_QUERY = "the that in"
+
+
 def search_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query: ``the that in``."""
-    one = spark.createDataFrame([(0, "the that in")], "query_id bigint, query string")
-    return search.search_idf(documents(spark, sf_dir), one)
+    """One query."""
+    return stored_index(spark, sf_dir).search(ONE_QUERY).select(F.lit(0).cast("bigint").alias("query_id"), "*")
 
 
 def search_idf_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_idf(documents(spark, sf_dir), query_log(spark, sf_dir))
+    return search.search_idf(stored_index(spark, sf_dir), query_log(spark, sf_dir))
+
+
+def search_idf_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same results behind the Bloom filter."""
+    return search.search_idf(stored_index(spark, sf_dir), query_log(spark, sf_dir), prefilter=True)
 
 
 def search_idf_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_idf(documents(spark, sf_dir), query_log(spark, sf_dir), limit=None)
+    return search.search_idf(stored_index(spark, sf_dir), query_log(spark, sf_dir), limit=None)
 
 
 def search_coord(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = spark.createDataFrame([(0, "the that in")], "query_id bigint, query string")
-    return search.search_coordination(documents(spark, sf_dir), one).drop("match_positions")
+    one = spark.createDataFrame([(0, ONE_QUERY)], "query_id bigint, query string")
+    return search.search_coordination(stored_index(spark, sf_dir), one).drop("match_positions")
 
 
 def search_coord_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_coordination(documents(spark, sf_dir), query_log(spark, sf_dir)).drop("match_positions")
+    return search.search_coordination(stored_index(spark, sf_dir), query_log(spark, sf_dir)).drop("match_positions")
 
 
 def match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search_coordination(documents(spark, sf_dir), query_log(spark, sf_dir))
+    found = search.search_coordination(stored_index(spark, sf_dir), query_log(spark, sf_dir))
     return found.select("query_id", "doc_id", F.array_join(F.transform("match_positions", lambda x: x.cast("string")), ",").alias("match_positions"))
 
 
+def posting_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.posting_hits(stored_index(spark, sf_dir), query_log(spark, sf_dir))
+
+
 def unmatched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.unmatched_terms(documents(spark, sf_dir), query_log(spark, sf_dir))
+    return search.unmatched_terms(stored_index(spark, sf_dir), query_log(spark, sf_dir))
 
 
 def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,18 +68,18 @@ def search_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, log = documents(spark, sf_dir), query_log(spark, sf_dir)
-    return search.score_difference(search.search_idf(docs, log), search.search_coordination(docs, log))
+    index, log = stored_index(spark, sf_dir), query_log(spark, sf_dir)
+    return search.score_difference(search.search_idf(index, log), search.search_coordination(index, log))
 
 
 def retrieved_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search_idf(documents(spark, sf_dir), query_log(spark, sf_dir))
+    found = search.search_idf(stored_index(spark, sf_dir), query_log(spark, sf_dir))
     return search.retrieved(found, F.col("doc_id") == F.col("query_id"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (search_idf, search_idf_batch, search_idf_uncapped, search_coord, search_coord_batch, match_positions, unmatched_terms, jaccard_topk, search_part_names, score_diff, retrieved_any)
+    for f in (search_idf, search_idf_batch, search_idf_bloom, search_idf_uncapped, search_coord, search_coord_batch, match_positions, posting_hits, unmatched_terms, jaccard_topk, search_part_names, score_diff, retrieved_any)
 }
 
 ONE = "log AS (SELECT 0::BIGINT AS query_id, 'the that in' AS query)"
@@ -79,6 +91,8 @@ SQL = {
     "search_idf": f"WITH {TOK}, {DF}, {CAP}, {ONE}, {ASKED}, {IDF}, t AS ({top('idf', 100)}) SELECT {_COLS} FROM t",
     "search_idf_batch": f"WITH {TOK}, {DF}, {CAP}, {LOG}, {ASKED}, {IDF}, t AS ({top('idf', 100)}) SELECT {_COLS} FROM t",
     "search_idf_uncapped": f"WITH {TOK}, {DF}, cap AS (SELECT term, doc_id FROM tok), {LOG}, {ASKED}, {IDF}, t AS ({top('idf', 100)}) SELECT {_COLS} FROM t",
+    "search_idf_bloom": f"WITH {TOK}, {DF}, {CAP}, {LOG}, {ASKED}, {IDF}, t AS ({top('idf', 100)}) SELECT {_COLS} FROM t",
+    "posting_hits": f"WITH {TOK}, {CAP}, {LOG}, {ASKED} SELECT term, doc_id, count(*) AS hits FROM asked JOIN cap USING (term) GROUP BY ALL",
     "search_coord": f"WITH {TOK}, {CAP}, {ONE}, {ASKED}, {COORD}, t AS ({top('coord', 100)}) SELECT {_COLS} FROM t",
     "search_coord_batch": f"WITH {TOK}, {CAP}, {LOG}, {ASKED}, {COORD}, t AS ({top('coord', 100)}) SELECT {_COLS} FROM t",
     "match_positions": f"WITH {TOK}, {CAP}, {LOG}, {ASKED}, {COORD}, t AS ({top('coord', 100)}) SELECT query_id, doc_id, rtrim(repeat('1,', m), ',') AS match_positions FROM t",

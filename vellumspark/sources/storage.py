@@ -38,13 +38,13 @@ def new_path(spark: SparkSession, kind: str = "vellum") -> str:
     return path
 
 
-def write(df: DataFrame, path: str, **options) -> None:
-    """Write ``df`` as Parquet; the shuffle files behind it are dropped at once."""
+def write(df: DataFrame, path: str, partitionBy: str | None = None, **options) -> None:  # noqa: N803
+    """Write ``df`` as Parquet, in folders by ``partitionBy`` if given; the shuffle files behind it are dropped at once."""
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        df.write.options(**options).parquet(path, partitionBy=partitionBy)
     finally:
         conf.set(CLEANUP, before)
 
