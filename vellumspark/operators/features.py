@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LONG_WORD, long_words, mean_length, richness, tokens, without_stop_words
+from ..functions.text import long_words, mean_length, richness, tokens, without_stop_words
+from ..sources.storage import materialize
 
 MAX_FEATURES = 1000
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is evaluated once: a name inside an expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def counted(words: Column) -> Column:
+    """The sorted ``(token, n)`` of an array of words, counted inside the row, so without a shuffle."""
+
+    def runs(ts: Column) -> Column:
+        places = F.when(F.size(ts) > 0, F.sequence(F.lit(0), F.size(ts) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+        run = lambda st: F.transform(st, lambda s, k: F.struct(F.get(ts, s).alias("token"), (F.coalesce(F.get(st, k + 1), F.size(ts)) - s).cast("bigint").alias("n")))
+        return _let(starts, run)
+
+    return _let(F.array_sort(words), runs)
+
+
+def _counts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    return texts.select(F.col(key).alias("key"), counted(without_stop_words(tokens(F.col(text)))).alias("counts"))
+
+
 def token_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, token, n`` of the tokens left without stop words."""
-    ts = without_stop_words(tokens(F.col(text)))
-    return texts.select(F.col(key).alias("key"), F.explode(ts).alias("token")).groupBy("key", "token").agg(F.count(F.lit(1)).alias("n"))
+    """``key, token, n`` of the tokens left without stop words; keys are unique."""
+    return _counts(texts, key, text).select("key", F.explode("counts").alias("c")).select("key", "c.token", "c.n")
 
 
 def fit_vocabulary(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """``term, tf, df, idf`` of the most frequent words, at most ``max_features`` rows; idf = ln((1 + N) / (1 + df)) + 1."""
-    words = docs.select("doc_id", F.explode(long_words(F.col("text"))).alias("term"))
-    per_doc = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    stats = per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    words = docs.select(F.explode(counted(long_words(F.col("text")))).alias("c"))
+    stats = words.groupBy(F.col("c.token").alias("term")).agg(F.sum("c.n").alias("tf"), F.count(F.lit(1)).alias("df"))
     top = stats.orderBy(F.desc("tf"), "term").limit(max_features)
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     idf = F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1
@@ -29,9 +51,14 @@ def fit_vocabulary(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFra
 
 def tfidf(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``key, term, w``: unit vectors over the vocabulary, which has a bounded number of rows and is broadcast."""
+    unit = _unit_vectors(counts, vocabulary)
+    return unit.select("key", F.explode("vs").alias("e"), "length").select("key", "e.term", (F.col("e.v") / F.col("length")).alias("w"))
+
+
+def _unit_vectors(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``key, vs, length``: a text's (term, v), at most one a vocabulary term, and their norm; one grouping."""
     raw = counts.join(F.broadcast(vocabulary.select("term", "idf")), counts["token"] == F.col("term")).select("key", "term", (F.col("n") * F.col("idf")).alias("v"))
-    norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return raw.join(norm, "key").select("key", "term", (F.col("v") / F.col("norm")).alias("w"))
+    return raw.groupBy("key").agg(F.collect_list(F.struct("term", "v")).alias("vs"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
 
 
 def text_statistics(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -51,22 +78,18 @@ def character_entropy(counts: DataFrame) -> DataFrame:
 def patterns(texts: DataFrame, vocabulary: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, weights (map), stats (array of 3), norm, canonical``, a row for each text with a token.
 
-    ``canonical`` is the sorted list of ``token:count``: equal for texts with equal patterns.
+    ``canonical`` is a digest of the sorted list of ``token:count``: equal for texts with equal patterns. Texts are read once; all else
+    is derived from their written counts.
     """
-    counts = token_counts(texts, key, text)
-    per_key = counts.groupBy("key").agg(
-        F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "token", "n"))), " ")).alias("canonical"),
-        (F.sum(F.col("n") * F.length("token")) / F.sum("n")).alias("mean_length"),
-        (F.count(F.lit(1)) / F.sum("n")).alias("richness"),
-    )
-    raw = counts.join(F.broadcast(vocabulary.select("term", "idf")), counts["token"] == F.col("term")).select("key", "term", (F.col("n") * F.col("idf")).alias("v"))
-    vectors = raw.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "v"))).alias("weights"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
-    out = per_key.join(character_entropy(counts), "key").join(vectors, "key", "left")
+    base = materialize(_counts(texts, key, text).filter(F.size("counts") > 0))
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
+    letters = F.aggregate("counts", F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"] * F.length(c["token"]))
+    form = F.md5(F.array_join(F.array_sort(F.transform("counts", lambda c: F.concat_ws(":", c["token"], c["n"].cast("string")))), " "))
+    rows = base.select("key", "counts", form.alias("canonical"), (letters / total).alias("mean_length"), (F.size("counts") / total).alias("richness"))
+    counts = base.select("key", F.explode("counts").alias("c")).select("key", "c.token", "c.n")
+    vectors = _unit_vectors(counts, vocabulary).select("key", "length", F.map_from_entries("vs").alias("weights"))
+    out = rows.drop("counts").join(character_entropy(counts), "key").join(vectors, "key", "left")
     stats = F.array("mean_length", "richness", "entropy")
     unit = F.coalesce(F.transform_values("weights", lambda _, v: v / F.col("length")), F.create_map().cast("map<string,double>"))
     size = F.when(F.col("length") > 0, 1.0).otherwise(0.0) + F.col("mean_length") ** 2 + F.col("richness") ** 2 + F.col("entropy") ** 2
     return out.select("key", unit.alias("weights"), stats.alias("stats"), F.sqrt(size).alias("norm"), "canonical")
-
-
-def is_long_word(token):
-    return token.rlike(f"^{LONG_WORD}$")

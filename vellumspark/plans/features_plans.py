@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, without_stop_words
 from ..operators import access, features, pattern
-from ..sources.tables import documents, query_log, table
+from ..sources.tables import documents, table
+from .indexes import stored_patterns
 from .sql import COS, COUNTS, KEPT, LOG, QCOUNTS, VOCAB, chunks, equal_share, h, patterns, top
 
 SHARDS = 100
@@ -15,12 +16,6 @@ SHARDS = 100
 QUERY_STEP = 20
 
 
-def _patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = documents(spark, sf_dir)
-    vocabulary = features.fit_vocabulary(docs)
-    return features.patterns(docs, vocabulary, "doc_id"), features.patterns(query_log(spark, sf_dir), vocabulary, "query_id", "query")
-
-
 def stop_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = without_stop_words(tokens(F.col("text")))
     return documents(spark, sf_dir).select("doc_id", F.size(ts).cast("bigint").alias("n_tokens"), F.md5(F.array_join(ts, " ")).alias("tokens_md5"))
@@ -37,17 +32,17 @@ def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_topv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.fit_vocabulary(documents(spark, sf_dir)).select("term", "tf", "df", F.round("idf", 6).alias("idf"))
+    return stored_patterns(spark, sf_dir).vocabulary.select("term", "tf", "df", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    v = features.tfidf(features.token_counts(docs, "doc_id"), features.fit_vocabulary(docs))
-    return v.select(F.col("key").alias("doc_id"), "term", F.round("w", 6).alias("w"))
+    v = stored_patterns(spark, sf_dir).documents.select(F.col("key").alias("doc_id"), F.explode("weights").alias("term", "w"))
+    return v.select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 def pattern_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pattern.cosine_search(*_patterns(spark, sf_dir))
+    stored = stored_patterns(spark, sf_dir)
+    return pattern.cosine_search(stored.documents, stored.queries)
 
 
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,26 +52,23 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signature_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = pattern.signatures(_patterns(spark, sf_dir)[0])
-    return s.withColumnRenamed("key", "doc_id")
+    return stored_patterns(spark, sf_dir).documents.select(F.col("key").alias("doc_id"), "c0", "c1", "c2", "c3")
 
 
 def signature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = _patterns(spark, sf_dir)
-    return pattern.signature_search(pattern.signatures(docs), pattern.signatures(asked))
+    stored = stored_patterns(spark, sf_dir)
+    return pattern.signature_search(stored.documents, stored.queries)
 
 
 def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = pattern.signatures(_patterns(spark, sf_dir)[0])
+    s = stored_patterns(spark, sf_dir).documents
     return s.select(F.col("key").alias("doc_id"), pattern.shard_of([F.col(f"c{i}") for i in range(4)], SHARDS).alias("shard_id"))
 
 
 def trie_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents a walk reaches for each query."""
-    docs, asked = (pattern.signatures(p) for p in _patterns(spark, sf_dir))
-    pairs = docs.crossJoin(F.broadcast(asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])))
-    kept = pattern.explores([F.col(f"q_c{i}") for i in range(4)], [F.col(f"c{i}") for i in range(4)])
-    return pairs.groupBy(F.col("q_key").alias("query_id")).agg(F.count(F.when(kept, 1)).alias("visited"), F.count(F.lit(1)).alias("documents"))
+    stored = stored_patterns(spark, sf_dir)
+    return pattern.visits(stored.documents, stored.queries)
 
 
 def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,13 +82,21 @@ def shard_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = _patterns(spark, sf_dir)
-    return pattern.pattern_search(docs, asked, _access(spark, sf_dir))
+    """All shards, with the found texts."""
+    stored = stored_patterns(spark, sf_dir)
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
+    return pattern.pattern_search(stored.documents, stored.queries, _access(spark, sf_dir), content=texts)
+
+
+def search_pattern_ranked_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the best shards by access, as an option."""
+    stored = stored_patterns(spark, sf_dir)
+    return pattern.pattern_search(stored.documents, stored.queries, _access(spark, sf_dir), shards=shard_rank(spark, sf_dir), shard_count=SHARDS)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (stop_filtered, text_stats, char_entropy, vocab_topv, tfidf_vectors, pattern_cosine, embedding_topk, signature_bits, signature_match, shard_assign, trie_prune, shard_rank, search_pattern)
+    for f in (stop_filtered, text_stats, char_entropy, vocab_topv, tfidf_vectors, pattern_cosine, embedding_topk, signature_bits, signature_match, shard_assign, trie_prune, shard_rank, search_pattern, search_pattern_ranked_shards)
 }
 
 _DP = f"{COUNTS}, {VOCAB}, {patterns('dp', 'counts')}"
@@ -108,6 +108,15 @@ _ACCESS = "acc AS (SELECT user_id AS key, count(*) AS access_count FROM events G
 _COLS = "query_id, doc_id, score, rank"
 _VISIT = "1 - bit_count(xor(q2, c2)) / 32 + ln(1 + {a}) / 10 >= 0.5 - 1e-12 AND 1 - bit_count(xor(q3, c3)) / 8 + ln(1 + {a}) / 10 >= 0.4 - 1e-12"
 
+
+def _search_pattern_sql(more: str, ctes: str, joins: str, where: str = "") -> str:
+    return f"""WITH {_DP}, {_QP}, {_SIG}, {_QSIG}, {COS}, {_ACCESS}{ctes},
+j AS (SELECT query_id, doc_id, cos, {equal_share('q', 'c')} AS pm, coalesce(access_count, 0) AS access_count, q2, q3, c2, c3
+  FROM cosines JOIN ds ON ds.key = doc_id JOIN qs ON qkey = query_id LEFT JOIN acc ON acc.key = doc_id),
+s AS (SELECT query_id, doc_id, round(0.6 * cos + 0.3 * pm + 0.1 * ln(1 + access_count), 6) AS score, round(pm, 6) AS pattern_match, access_count FROM j WHERE round(cos, 6) >= 0.5 AND {_VISIT.format(a='access_count')} {where}),
+t AS ({top('s', 10)}) SELECT query_id, doc_id, score, pattern_match, access_count, rank{', ' + more if more else ''} FROM t {joins}"""
+
+
 SQL = {
     "stop_filtered": f"SELECT doc_id, CAST(len(ts) AS BIGINT) AS n_tokens, md5(array_to_string(ts, ' ')) AS tokens_md5 FROM (SELECT doc_id, {KEPT('text')} AS ts FROM documents)",
     "text_stats": f"""SELECT doc_id, CASE WHEN len(ts) > 0 THEN round(list_sum(list_transform(ts, lambda t: length(t))) / len(ts), 6) ELSE 0 END AS mean_length,
@@ -125,9 +134,11 @@ FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % {QUERY_STEP} = 0), t
     "trie_prune": f"WITH {_DP}, {_QP}, {_SIG}, {_QSIG} SELECT qkey AS query_id, count(*) FILTER ({_VISIT.format(a=0)}) AS visited, count(*) AS documents FROM ds CROSS JOIN qs GROUP BY qkey",
     "shard_rank": f"""WITH {_DP}, {_SIG}, {_SHARD}, {_ACCESS}, s AS (SELECT shard_id, round(0.5 * ln(1 + sum(access_count)), 6) AS score FROM placed JOIN acc ON key = doc_id GROUP BY shard_id)
 SELECT shard_id, score FROM s ORDER BY score DESC, shard_id DESC LIMIT {max(3, SHARDS // 10)}""",
-    "search_pattern": f"""WITH {_DP}, {_QP}, {_SIG}, {_QSIG}, {COS}, {_ACCESS},
-j AS (SELECT query_id, doc_id, cos, {equal_share('q', 'c')} AS pm, coalesce(access_count, 0) AS access_count, q2, q3, c2, c3
-  FROM cosines JOIN ds ON ds.key = doc_id JOIN qs ON qkey = query_id LEFT JOIN acc ON acc.key = doc_id),
-s AS (SELECT query_id, doc_id, round(0.6 * cos + 0.3 * pm + 0.1 * ln(1 + access_count), 6) AS score, round(pm, 6) AS pattern_match, access_count FROM j WHERE round(cos, 6) >= 0.5 AND {_VISIT.format(a='access_count')}),
-t AS ({top('s', 10)}) SELECT query_id, doc_id, score, pattern_match, access_count, rank FROM t""",
+    "search_pattern": _search_pattern_sql("content", ", doc AS (SELECT doc_id, text AS content FROM documents)", "JOIN doc USING (doc_id)"),
+    "search_pattern_ranked_shards": _search_pattern_sql(
+        "",
+        f""", {_SHARD}, ranked AS (SELECT shard_id FROM (SELECT shard_id, round(0.5 * ln(1 + sum(access_count)), 6) AS score FROM placed JOIN acc ON key = doc_id GROUP BY shard_id) ORDER BY score DESC, shard_id DESC LIMIT {max(3, SHARDS // 10)})""",
+        "",
+        "AND doc_id IN (SELECT doc_id FROM placed JOIN ranked USING (shard_id))",
+    ),
 }

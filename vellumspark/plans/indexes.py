@@ -1,22 +1,51 @@
-"""The stored index of a folder's documents, built by the first query that reads it."""
+"""The stored index and pattern features of a folder's documents, built by the first query that reads them."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import features, pattern
 from ..operators.store import Index, build_index
-from ..sources.storage import new_path
-from ..sources.tables import documents, input_bytes, table
+from ..sources.storage import materialize, new_path
+from ..sources.tables import documents, input_bytes, query_log, table
 
 #: False-positive rate of the stored filter.
 FALSE_POSITIVES = 0.01
 
+
+@dataclass(frozen=True)
+class Patterns:
+    """Written tables: ``patterns`` rows with their signatures, of documents and of the query log."""
+
+    vocabulary: DataFrame
+    documents: DataFrame
+    queries: DataFrame
+
+
 _built: dict[tuple, Index] = {}
+_patterns: dict[tuple, Patterns] = {}
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple:
+    return (spark.sparkContext.applicationId, sf_dir, input_bytes(table(spark, sf_dir, "documents")), input_bytes(table(spark, sf_dir, "benchmark")))
+
+
+def stored_patterns(spark: SparkSession, sf_dir: str) -> Patterns:
+    """Built once a session, folder and size of its tables."""
+    key = _key(spark, sf_dir)
+    if key not in _patterns:
+        docs = documents(spark, sf_dir)
+        vocabulary = materialize(features.fit_vocabulary(docs))
+        made = [materialize(pattern.with_signatures(features.patterns(rows, vocabulary, *names))) for rows, *names in ((docs, "doc_id"), (query_log(spark, sf_dir), "query_id", "query"))]
+        _patterns[key] = Patterns(vocabulary, *made)
+    return _patterns[key]
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> Index:
-    """Built once a session, folder and size of its documents."""
-    key = (spark.sparkContext.applicationId, sf_dir, input_bytes(table(spark, sf_dir, "documents")))
+    """Built once a session, folder and size of its tables."""
+    key = _key(spark, sf_dir)
     if key not in _built:
         _built[key] = build_index(documents(spark, sf_dir), new_path(spark, "index"), false_positives=FALSE_POSITIVES)
     return _built[key]
