@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import input_bytes
 from .bytehash import Ranges, mix
-from .common import columns, discard, materialize, numbered, shuffle_partitions, table, unique_ids
+from .common import columns, materialize, numbered, shuffle_partitions, table, unique_ids
 from .suffix_array import suffix_array
 
 LENGTH = 100
@@ -43,6 +44,8 @@ HALF = (LENGTH - K) // 2
 SYMBOLS = LENGTH - K - HALF + 1
 #: Bytes of text that are hashed together, and symbols that are sorted together unless one group has more.
 GROUP_BYTES, SORT_SYMBOLS = 1 << 20, 1 << 17
+#: Bytes of input a bucket at most, on average: a worker holds one bucket's texts at a time, whatever the size of the corpus.
+BUCKET_BYTES = 16 << 20
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -332,7 +335,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = columns(docs, doc_id=doc_id, text=text, **{f"carried_{k}": c for k, c in enumerate(carried)})
     spark = docs.sparkSession
     kind = rows.schema["doc_id"].dataType.simpleString()
-    n = 2 * shuffle_partitions(spark)
+    n = max(2 * shuffle_partitions(spark), -(-input_bytes(docs) // BUCKET_BYTES))
     if kind in ("tinyint", "smallint", "int", "bigint") and unique_ids(rows):
         rows = rows.withColumn("row_no", F.col("doc_id").cast("long"))
     else:
@@ -366,33 +369,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-#: Brute force in SQL: all windows, their first places, and the bytes that later ones cover. Texts are encoded to hex,
-#: so that positions count bytes.
+#: Brute force in SQL: all windows, their first places, and the bytes that later ones cover. Texts are blobs, so that positions count bytes.
 ORACLE = r"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (
-  SELECT doc_id, x, unnest(generate_series(0, greatest(length(x) // 2 - 100, -1))) AS s FROM d WHERE length(x) >= 200
-),
-r AS (
-  SELECT doc_id, s, row_number() OVER (PARTITION BY md5(substr(x, 2 * s + 1, 200)) ORDER BY doc_id, s) AS k FROM w
-),
-later AS (SELECT doc_id, s FROM r WHERE k > 1),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT doc_id, s, md5_number(x[s + 1 : s + 100]) AS m FROM (SELECT doc_id, x, unnest(range(0, greatest(octet_length(x) - 99, 0))) AS s FROM d)),
+first AS (SELECT m, min((doc_id, s)) AS f FROM w GROUP BY m HAVING count(*) > 1),
+later AS (SELECT doc_id, s FROM w JOIN first USING (m) WHERE (doc_id, s) <> f),
 island AS (
   SELECT doc_id, s, sum(CASE WHEN s <= p + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS g
   FROM (SELECT doc_id, s, lag(s, 1, -1000) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM later)
 ),
 span AS (SELECT doc_id, g, min(s) AS lo, max(s) + 100 AS hi FROM island GROUP BY doc_id, g),
+ends AS (SELECT doc_id, max(hi) AS last FROM span GROUP BY doc_id),
 edges AS (
   SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM span
   UNION ALL
-  SELECT d.doc_id, length(x) // 2, NULL, coalesce((SELECT max(hi) FROM span WHERE span.doc_id = d.doc_id), 0) FROM d
+  SELECT d.doc_id, octet_length(x), NULL, coalesce(last, 0) FROM d LEFT JOIN ends USING (doc_id)
 ),
 kept AS (
-  SELECT e.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo, hi NULLS LAST) AS k, count(hi) AS n_spans,
+  SELECT e.doc_id, string_agg(CASE WHEN lo > before THEN hex(x[before + 1 : lo]) ELSE '' END, '' ORDER BY lo, hi NULLS LAST) AS k, count(hi) AS n_spans,
          coalesce(sum(hi - lo), 0) AS n_removed
   FROM edges e JOIN d USING (doc_id) GROUP BY e.doc_id
 )
-SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+SELECT d.doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
        sha256(unhex(k)) AS kept_sha256
 FROM d JOIN kept USING (doc_id)
 """

@@ -4,7 +4,8 @@ Suffixes are first grouped by their Lyndon prefix: groups are processed in desce
 previous suffix of a smaller group by following previous-smaller pointers, and the suffixes so found move to the
 end of their own group, those that are found more often further up, since their prefix grew by one more copy. Then every group's
 order follows in one ascending pass: a suffix that comes next in the array places the suffixes whose Lyndon
-prefix ends where it starts. Nothing is renamed and nothing recurses; all steps together are linear.
+prefix ends where it starts. Nothing is renamed and nothing recurses. All steps are linear but the first one's sort of the symbols, and
+the sorts that put a group's suffixes in order of place, which the interpreter's sort does faster than bucket passes would.
 """
 
 from __future__ import annotations
