@@ -328,6 +328,17 @@ def test_bpe_stitching(tools):
         assert bpe.encode_stitched(text, ours, chunk=chunk, overlap=rnd.randint(4, chunk)) == theirs.encode_ordinary(text), repr(text)
 
 
+def test_bpe_boundaries_by_length(tools):
+    import regex
+
+    rnd = random.Random(8)
+    for pattern in (bpe.default_vocabulary()[1], r"[a-z]+", r"a|b"):
+        compiled = regex.compile(pattern)
+        for _ in range(300):
+            text = "".join(rnd.choices(ALPHABET, k=rnd.randint(0, 40)))
+            assert bpe.boundaries_of(text, compiled) == bpe.boundaries(text, compiled.finditer)
+
+
 def test_bpe_long_pieces(tools):
     theirs, ours = tools
     for text in ("a" * 20_000, "ab" * 9_000, "\n" * 5_000, "漢" * 3_000):

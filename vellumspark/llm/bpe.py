@@ -15,9 +15,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,6 +87,12 @@ def boundaries(text: str, find) -> list[int]:
     return [m.start() for m in find(text)] + [len(text)]
 
 
+def boundaries_of(text: str, pattern: regex.Pattern) -> list[int]:
+    """The same as ``boundaries``, from the lengths of the matches where they leave no gap."""
+    ends = list(accumulate(map(len, pattern.findall(text))))
+    return [0, *ends] if not text or (ends and ends[-1] == len(text)) else boundaries(text, pattern.finditer)
+
+
 def stitch(chunks: Iterable[tuple[int, str]], find) -> Iterator[str]:
     """The text of ``chunks`` in pieces that begin and end at true boundaries.
 
@@ -179,16 +188,16 @@ def _pretokenise(pattern: str):
     """Chunks to chunks with their boundaries near both ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).finditer
+        compiled = regex.compile(pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
                 heads, tails = [], []
                 for start, text, last in zip(part.column("start").to_pylist(), part.column("chunk").to_pylist(), part.column("last").to_pylist(), strict=True):
-                    sure = boundaries(text, find)
+                    sure = boundaries_of(text, compiled)
                     sure = sure if last else sure[:-UNSURE]
-                    heads.append([start + b for b in sure if b < OVERLAP])
-                    tails.append([start + b for b in seams(text, [b for b in sure if b >= CHUNK])])
+                    heads.append([start + b for b in sure[: bisect_left(sure, OVERLAP)]])
+                    tails.append([start + b for b in seams(text, sure[bisect_left(sure, CHUNK) :])])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=[*part.schema.names, "head", "tail"]
                 )
@@ -197,15 +206,15 @@ def _pretokenise(pattern: str):
 
 
 def _encode_span(path: str, pattern: str):
-    """Chunk texts, cut to the span between two stitches, to their ids."""
+    """Chunk texts, cut to the span between two stitches, to their ids as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
-                ids = [coder.encode_piece(t) for t in part.column("piece").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("no"), pa.array(ids, pa.list_(pa.int32()))], names=["row_id", "no", "ids"])
+                ids = [np.array(coder.encode_piece(t), "<i4").tobytes() for t in part.column("piece").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("no"), pa.array(ids, pa.binary())], names=["row_id", "no", "ids"])
 
     return run
 
@@ -216,7 +225,7 @@ def _join_ids(path: str, pattern: str, keep_ids: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
-                whole = [[i for p in parts for i in p["ids"]] for parts in part.column("parts").to_pylist()]
+                whole = [np.frombuffer(b"".join(p["ids"] for p in parts), "<i4").tolist() for parts in part.column("parts").to_pylist()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*(_summary(ids, coder) for ids in whole), strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
                 names = ["row_id", *_RESULT]
                 if keep_ids:
@@ -248,7 +257,7 @@ def _encode_long(long: DataFrame, path: str, pattern: str, keep_ids: bool) -> Da
     spans = materialize(spans.join(per_row, "row_id"))
     good = spans.filter("open = 0").select("row_id", "no", "seam", "to")
     pieces = seen.select("row_id", "no", "start", "chunk").join(good, ["row_id", "no"]).select("row_id", "no", F.expr("substring(chunk, cast(seam - start as int) + 1, cast(coalesce(to, start + length(chunk)) - seam as int))").alias("piece"))
-    ids = pieces.mapInArrow(_encode_span(path, pattern), "row_id long, no int, ids array<int>")
+    ids = pieces.mapInArrow(_encode_span(path, pattern), "row_id long, no int, ids binary")
     parts = ids.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     joined = parts.mapInArrow(_join_ids(path, pattern, keep_ids), f"row_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{tail}")
     done = joined.join(rows.select("row_id", "doc_id"), "row_id").drop("row_id")
