@@ -336,7 +336,13 @@ def test_bpe_boundaries_by_length(tools):
         compiled = regex.compile(pattern)
         for _ in range(300):
             text = "".join(rnd.choices(ALPHABET, k=rnd.randint(0, 40)))
-            assert bpe.boundaries_of(text, compiled) == bpe.boundaries(text, compiled.finditer)
+            found, sizes = bpe.matches(text, compiled)
+            assert found == bpe.boundaries(text, compiled.finditer)
+            coder = bpe.Coder({bytes([b]): b for b in range(256)}, pattern)
+            lo, hi = sorted(rnd.choices(found, k=2))
+            assert coder.encode_range(text, sizes, lo, hi) == coder.encode_range(text, None, lo, hi) or pattern == bpe.default_vocabulary()[1]
+            if pattern == bpe.default_vocabulary()[1]:
+                assert coder.decode(coder.encode_range(text, sizes, lo, hi)).decode() == text[lo:hi]
 
 
 def test_bpe_long_pieces(tools):

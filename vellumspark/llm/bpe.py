@@ -2,8 +2,8 @@
 
 Long texts are cut into chunks that overlap; each chunk is pre-tokenised by itself, in parallel. Pre-tokenisation from a
 boundary depends only on the text after it, so where a chunk and the one before share a boundary inside the
-overlap, away from the cut, both agree from there on: the chunks are stitched at the first such place that does not follow white space. The pieces between stitches
-are then encoded, each pre-token by merging the lowest rank first. Decoding concatenates the raw bytes of the ids.
+overlap, away from the cut, both agree from there on: the chunks are stitched at the first such place that does not follow white space. The pre-tokens between
+stitches are then encoded, each by merging the lowest rank first. Decoding concatenates the raw bytes of the ids.
 
 Defined cases: a null text is empty and has no ids; a chunk without a shared boundary (one pre-token longer than the
 overlap) is joined to the one before and pre-tokenised again from the last good boundary; repeated rows are kept; an empty table
@@ -87,10 +87,13 @@ def boundaries(text: str, find) -> list[int]:
     return [m.start() for m in find(text)] + [len(text)]
 
 
-def boundaries_of(text: str, pattern: regex.Pattern) -> list[int]:
-    """The same as ``boundaries``, from the lengths of the matches where they leave no gap."""
-    ends = list(accumulate(map(len, pattern.findall(text))))
-    return [0, *ends] if not text or (ends and ends[-1] == len(text)) else boundaries(text, pattern.finditer)
+def matches(text: str, pattern: regex.Pattern) -> tuple[list[int], bytes | None]:
+    """``boundaries`` and the lengths of the pre-tokens, which are None where the pattern leaves gaps between them."""
+    sizes = list(map(len, pattern.findall(text)))
+    ends = list(accumulate(sizes))
+    if not text or (ends and ends[-1] == len(text)):
+        return [0, *ends], np.array(sizes, "<u4").tobytes()
+    return boundaries(text, pattern.finditer), None
 
 
 def stitch(chunks: Iterable[tuple[int, str]], find) -> Iterator[str]:
@@ -138,11 +141,23 @@ class Coder:
 
     def encode_piece(self, text: str) -> list[int]:
         """The ids of a text that begins and ends at true boundaries."""
+        return self.encode_parts(self.findall(text))
+
+    def encode_parts(self, parts: Iterable[str]) -> list[int]:
+        """The ids of pre-tokens."""
         known, ids = self.known.get, []
-        for piece in self.findall(text):
+        for piece in parts:
             ids += known(piece) or self._learn(piece)
         return ids
 
+    def encode_range(self, text: str, sizes: bytes | None, start: int, stop: int) -> list[int]:
+        """The ids of ``text[start:stop]``, whose ends are boundaries; with the sizes of the pre-tokens of ``text`` none is searched for again."""
+        if sizes is None:
+            return self.encode_piece(text[start:stop])
+        ends = np.cumsum(np.frombuffer(sizes, "<u4"))
+        inside = ends[np.searchsorted(ends, start, "right") : np.searchsorted(ends, stop, "right")].tolist()
+        return self.encode_parts([text[i:j] for i, j in zip([start, *inside[:-1]], inside, strict=True)] if inside else [])
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
 
@@ -185,35 +200,37 @@ def _encode_whole(path: str, pattern: str, keep_ids: bool):
 
 
 def _pretokenise(pattern: str):
-    """Chunks to chunks with their boundaries near both ends."""
+    """Chunks to chunks with the sizes of their pre-tokens and their boundaries near both ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
-                heads, tails = [], []
+                heads, tails, sizes = [], [], []
                 for start, text, last in zip(part.column("start").to_pylist(), part.column("chunk").to_pylist(), part.column("last").to_pylist(), strict=True):
-                    sure = boundaries_of(text, compiled)
-                    sure = sure if last else sure[:-UNSURE]
+                    found, lengths = matches(text, compiled)
+                    sizes.append(lengths)
+                    sure = found if last else found[:-UNSURE]
                     heads.append([start + b for b in sure[: bisect_left(sure, OVERLAP)]])
                     tails.append([start + b for b in seams(text, sure[bisect_left(sure, CHUNK) :])])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=[*part.schema.names, "head", "tail"]
+                    [*part.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64())), pa.array(sizes, pa.binary())], names=[*part.schema.names, "head", "tail", "sizes"]
                 )
 
     return run
 
 
 def _encode_span(path: str, pattern: str):
-    """Chunk texts, cut to the span between two stitches, to their ids as 32-bit integers."""
+    """The pre-tokens of chunks between two stitches to their ids, as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
-                ids = [np.array(coder.encode_piece(t), "<i4").tobytes() for t in part.column("piece").to_pylist()]
+                spans = zip(*(part.column(n).to_pylist() for n in ("chunk", "sizes", "lo", "hi")), strict=True)
+                ids = [np.array(coder.encode_range(*span), "<i4").tobytes() for span in spans]
                 yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("no"), pa.array(ids, pa.binary())], names=["row_id", "no", "ids"])
 
     return run
@@ -246,7 +263,7 @@ def _encode_long(long: DataFrame, path: str, pattern: str, keep_ids: bool) -> Da
         "row_id", "no", (F.col("no") * CHUNK).cast("long").alias("start"), F.expr(f"substring(text, no * {CHUNK} + 1, {CHUNK + OVERLAP})").alias("chunk"), F.expr(f"length(text) <= (no + 1) * {CHUNK}").alias("last")
     )
     dealt = chunks.repartition(shuffle_partitions(spark), "row_id", "no")
-    seen = materialize(dealt.mapInArrow(_pretokenise(pattern), "row_id long, no int, start long, chunk string, last boolean, head array<bigint>, tail array<bigint>"))
+    seen = materialize(dealt.mapInArrow(_pretokenise(pattern), "row_id long, no int, start long, chunk string, last boolean, head array<bigint>, tail array<bigint>, sizes binary"))
     # Stitches need the offsets near the seams alone.
     order = Window.partitionBy("row_id").orderBy("no")
     seam = F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))
@@ -256,7 +273,8 @@ def _encode_long(long: DataFrame, path: str, pattern: str, keep_ids: bool) -> Da
     spans = seams.select("row_id", "no", "start", "seam", F.lead("seam").over(order).alias("to"))
     spans = materialize(spans.join(per_row, "row_id"))
     good = spans.filter("open = 0").select("row_id", "no", "seam", "to")
-    pieces = seen.select("row_id", "no", "start", "chunk").join(good, ["row_id", "no"]).select("row_id", "no", F.expr("substring(chunk, cast(seam - start as int) + 1, cast(coalesce(to, start + length(chunk)) - seam as int))").alias("piece"))
+    pieces = seen.select("row_id", "no", "start", "chunk", "sizes").join(good, ["row_id", "no"])
+    pieces = pieces.select("row_id", "no", "chunk", "sizes", F.expr("cast(seam - start as int)").alias("lo"), F.expr("cast(coalesce(to - start, length(chunk)) as int)").alias("hi"))
     ids = pieces.mapInArrow(_encode_span(path, pattern), "row_id long, no int, ids binary")
     parts = ids.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     joined = parts.mapInArrow(_join_ids(path, pattern, keep_ids), f"row_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{tail}")
