@@ -18,7 +18,7 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,23 +121,30 @@ def stitch(chunks: Iterable[tuple[int, str]], find) -> Iterator[str]:
         yield carried
 
 
+class Known(dict):
+    """The ids of pre-tokens; those seen before come from a bounded table, the others are merged when they are asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(self) >= CACHE:
+            self.clear()
+        ids = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 class Coder:
-    """Encodes and decodes by one rank table; pre-tokens seen before come from a bounded table."""
+    """Encodes and decodes by one rank table."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).finditer
         self.findall = regex.compile(pattern).findall
         self.raw = {v: k for k, v in ranks.items()}
         self.decimal = {v: str(v) for v in self.raw}
-        self.known: dict[str, list[int]] = {}
-
-    def _learn(self, piece: str) -> list[int]:
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        ids = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        if len(piece) <= 64:
-            self.known[piece] = ids
-        return ids
+        self.known = Known(ranks)
 
     def encode_piece(self, text: str) -> list[int]:
         """The ids of a text that begins and ends at true boundaries."""
@@ -145,10 +152,7 @@ class Coder:
 
     def encode_parts(self, parts: Iterable[str]) -> list[int]:
         """The ids of pre-tokens."""
-        known, ids = self.known.get, []
-        for piece in parts:
-            ids += known(piece) or self._learn(piece)
-        return ids
+        return list(chain.from_iterable(map(self.known.__getitem__, parts)))
 
     def encode_range(self, text: str, sizes: bytes | None, start: int, stop: int) -> list[int]:
         """The ids of ``text[start:stop]``, whose ends are boundaries; with the sizes of the pre-tokens of ``text`` none is searched for again."""
