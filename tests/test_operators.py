@@ -3,12 +3,14 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vellumspark.functions.stats import exclusive_quantile
 from vellumspark.functions.text import mean_length, richness
-from vellumspark.operators import access, bloom, cache, features, index, metrics, pattern, ring, search
+from vellumspark.operators import access, bloom, cache, features, harness, index, metrics, pattern, ring, search, store
+from vellumspark.sources import storage, synth
 
 
 @pytest.fixture(scope="module")
@@ -100,10 +102,10 @@ def test_quantiles_as_the_standard_library(spark):
             assert metrics.ranked_quantiles(df, "v").first()["p95"] == pytest.approx(want, abs=1e-6)
 
 
-def test_pruning(spark):
+def test_pruning():
     def row(c2, c3, access_count):
-        q, c = [F.lit(0)] * 4, [F.lit(0), F.lit(0), F.lit(c2), F.lit(c3)]
-        return spark.range(1).select(pattern.explores(q, c, F.lit(float(access_count))).alias("x")).first()["x"]
+        differing = [np.zeros((1, 1)), np.zeros((1, 1)), np.array([[float(c2.bit_count())]]), np.array([[float(c3.bit_count())]])]
+        return bool(pattern.explores(differing, np.array([float(access_count)]))[0, 0])
 
     assert row((1 << 16) - 1, 15, 0) and not row((1 << 17) - 1, 15, 0)
     assert row((1 << 17) - 1, 15, 100)
@@ -125,7 +127,13 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(pattern, "MAX_QUERIES", 7)
     assert run() == whole
     plan = pattern.vector_search(vectors, asked)._jdf.queryExecution().toString()
-    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # Against all pairs.
+    vs = {r["vec_id"]: r["embedding"] for r in vectors.collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    for q, v, s, r in whole[0]:
+        best = sorted(((-round(cos(vs[q], vs[o]), 6), o) for o in vs))[r - 1]
+        assert (v, s) == (best[1], pytest.approx(-best[0], abs=2e-6))
 
 
 def test_cache(spark):
@@ -143,3 +151,87 @@ def test_cache(spark):
     assert c.get("s", 10) is not None
     now[0] = 300.1
     assert c.get("s", 10) is None
+
+
+def test_stored_index(spark, micro, tmp_path):
+    path = str(tmp_path / "index")
+    built = store.build_index(micro, path, false_positives=0.01, shards=4)
+    q = queries(spark, "apple BANANA apple", "zzzzz", "", "cherry")
+    for limit in (100, None, 1):
+        assert scores(search.search_idf(built, q, limit=limit)) == scores(search.search_idf(micro, q, limit=limit))
+    assert scores(search.search_idf(built, q, prefilter=True)) == scores(search.search_idf(micro, q))
+    assert scores(search.search_coordination(built, q)) == scores(search.search_coordination(micro, q))
+    assert sorted(map(tuple, search.unmatched_terms(built, q).collect())) == [(1, "zzzzz")]
+    one = [(r["doc_id"], r["score"], r["rank"]) for r in built.search("apple BANANA apple").orderBy("rank").collect()]
+    assert one == [(1, 0.833333, 1), (2, 0.5, 2), (3, 0.333333, 3), (4, 0.333333, 4)] and built.search("zzzzz").count() == 0
+    hits = {(r["term"], r["doc_id"]): r["hits"] for r in search.posting_hits(built, q).collect()}
+    assert hits == {("apple", 1): 1, ("apple", 3): 1, ("apple", 4): 1, ("banana", 1): 1, ("banana", 2): 1, ("cherry", 2): 1, ("cherry", 3): 1}
+    assert "shard_id" in built.lists_of("apple")._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
+    # A new version; results of the old one do not answer for it.
+    kept = cache.ResultCache()
+    assert kept.capacity == 10_000 and built.search("fig", cache=kept).count() == 0
+    store.build_index(micro.unionAll(spark.createDataFrame([(5, "fig")], micro.schema)), path, version=2, shards=4)
+    newest = store.open_index(spark, path)
+    assert newest.version == 2 and newest.meta["documents"] == 5 and newest.search("fig", cache=kept).count() == 1
+    assert built.search("fig", cache=kept).count() == 0 and len(kept.entries) == 2
+    empty = store.build_index(micro.limit(0), str(tmp_path / "empty"))
+    assert search.search_idf(empty, q).count() == 0
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        store.open_index(spark, str(tmp_path / "none"))
+
+
+def test_storage_scopes(spark):
+    with storage.Scope() as outer:
+        a = storage.materialize(spark.range(3))
+        with storage.Scope() as inner:
+            b = storage.materialize(spark.range(4))
+        inner.discard()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(b._vellum_path)
+    outer.discard(a)
+    assert a.count() == 3
+
+
+def test_harness(spark, micro, tmp_path):
+    built = store.build_index(micro, str(tmp_path / "index"))
+    asked = ["apple", "banana cherry", "zzzzz"]
+    timings = harness.run(spark, built.search, asked, iterations=2, threads=2, batch=2)
+    assert sorted((r["batch"], r["query"], r["iteration"], r["rows"]) for r in timings.collect()) == sorted((k // 2, q, i, n) for k, (q, n) in enumerate(zip(asked, (3, 3, 0), strict=True)) for i in range(2))
+    report = harness.report(timings).collect()[0]
+    assert report["runs"] == 6 and report["min_time"] <= report["avg_time"] <= report["max_time"] <= report["p99"] + 1
+    assert {r["batch"] for r in harness.batches(timings).collect()} == {0, 1}
+    assert {r["query"] for r in harness.compare(spark, built.search, built.search, asked[:1]).collect()} == {"apple"}
+    assert harness.run(spark, built.search, []).count() == 0
+
+
+def test_retrieval_word_order_and_concurrency(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    data = [("test_1", "test document content"), ("pattern_1", "apple banana cherry"), ("pattern_2", "cherry banana apple")] + [(f"concurrent_{i}", f"test document {i}") for i in range(20)]
+    docs = spark.createDataFrame(data, "doc_id string, text string")
+    vocabulary = features.fit_vocabulary(docs)
+    stored = features.patterns(docs, vocabulary, "doc_id")
+
+    def ask(text):
+        q = features.patterns(queries(spark, text), vocabulary, "query_id", "query")
+        return {r["doc_id"]: r["score"] for r in pattern.cosine_search(stored, q).collect()}, {r["doc_id"]: r["score"] for r in pattern.pattern_search(stored, q).collect()}
+
+    assert "test_1" in ask("test document content")[0]
+    # Word order changes neither search; a shared word counts in the cosine.
+    assert ask("apple banana") == ask("banana apple") and {"pattern_1", "pattern_2"} <= set(ask("apple banana")[0])
+    with ThreadPoolExecutor(4) as pool:
+        assert all("concurrent_3" in found[0] for found in pool.map(ask, ["test document 3"] * 4))
+
+
+def test_zipf_values(spark):
+    rows = synth.zipf_documents(spark, 200, size=1000).collect()
+    assert rows == synth.zipf_documents(spark, 200, size=1000).collect()
+    words = {r["word"]: r["rank"] for r in synth.vocabulary(spark, 1000).collect()}
+    ranks = [words[w] for r in rows for w in r["terms"]]
+    assert all(r["terms"] == sorted(set(r["terms"])) and r["content"] == " ".join(r["terms"]) for r in rows)
+    assert sum(k == 1 for k in ranks) == 200 and sum(k <= 10 for k in ranks) > sum(100 < k <= 110 for k in ranks) * 5
+    asked = [r["query"].split() for r in synth.zipf_queries(spark, 3000, size=1000).collect()]
+    first = sum(words[w] == 1 for q in asked for w in q) / 9000
+    # The continuous law's mass of rank 1: (1 - 2 ** -0.5) / (1 - 1001 ** -0.5).
+    assert all(len(q) == 3 for q in asked) and abs(first - (1 - 2**-0.5) / (1 - 1001**-0.5)) < 0.03

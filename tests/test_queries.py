@@ -37,7 +37,12 @@ def test_every_query_without_sql_has_rows(spark):
         assert registry.queries()[name](spark, SF).count() > 0, name
 
 
-def test_search_reads_two_columns_and_cuts_before_the_shuffle(spark):
+def test_search_reads_stored_lists_and_cuts_before_the_shuffle(spark):
     plan = registry.queries()["search_idf_batch"](spark, SF)._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    assert "ReadSchema: struct<term:string,df:bigint,doc_ids:array<bigint>>" in plan and "documents.parquet" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_building_reads_two_columns(spark):
+    plan = registry.queries()["postings_capped"](spark, SF)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "WindowGroupLimit" in plan

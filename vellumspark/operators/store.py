@@ -26,7 +26,7 @@ from .cache import ResultCache
 from .index import POSTING_LIMIT, capped_postings, term_table
 
 SHARDS = 16
-_META = "version bigint, documents bigint, terms bigint, shards int, posting_limit int, bits bigint, hashes int"
+_META = "version bigint, documents bigint, terms bigint, shards int, posting_limit int, bits bigint, hashes int, id_type string"
 
 
 def shard_of(term: Column, shards: int) -> Column:
@@ -39,22 +39,33 @@ def build_index(docs: DataFrame, path: str, version: int = 1, shards: int = SHAR
     pairs = term_table(docs).withColumn("shard_id", shard_of(F.col("term"), shards))
     order = ["shard_id", "term", "doc_id"]
     _write(pairs.select(*order).repartitionByRange(*order).sortWithinPartitions(*order), f"{home}/postings", "shard_id")
-    stored = spark.read.parquet(f"{home}/postings")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    stored = spark.read.schema(_schemas(kind)["postings"]).parquet(f"{home}/postings")
     df = stored.groupBy("shard_id", "term").agg(F.count(F.lit(1)).alias("df"))
     ids = capped_postings(stored, limit).groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
     lists = df.join(ids, "term").select("shard_id", "term", "df", "doc_ids")
     _write(lists.repartition("shard_id", F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("shard_id", "term"), f"{home}/terms", "shard_id")
-    terms = spark.read.parquet(f"{home}/terms")
+    terms = spark.read.schema(_schemas(kind)["terms"]).parquet(f"{home}/terms")
     n = terms.count()
     size = bloom.size_for(n, false_positives, 1) if false_positives else bloom.Size(0, 0)
     if false_positives:
         _write(bloom.build(terms.select("term"), size), f"{home}/bloom")
     total = docs.agg(F.count(F.lit(1)).alias("documents"))
-    facts = total.select(F.lit(version).alias("version"), "documents", F.lit(n).alias("terms"), F.lit(shards).alias("shards"), F.lit(limit).alias("posting_limit"), F.lit(size.bits).alias("bits"), F.lit(size.hashes).alias("hashes"))
+    facts = total.select(F.lit(version).alias("version"), "documents", F.lit(n).alias("terms"), F.lit(shards).alias("shards"), F.lit(limit).alias("posting_limit"), F.lit(size.bits).alias("bits"), F.lit(size.hashes).alias("hashes"), F.lit(kind).alias("id_type"))
     _write(facts.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in _META.split(", ")]), f"{home}/meta")
     return Index(spark, path, version)
 
 
+def _schemas(id_type: str) -> dict[str, str]:
+    """What the tables hold; a table without rows tells no schema."""
+    return {
+        "postings": f"term string, doc_id {id_type}, shard_id int",
+        "terms": f"term string, df bigint, doc_ids array<{id_type}>, shard_id int",
+        "bloom": "word_idx bigint, word bigint",
+        "meta": _META,
+    }
+
+
 def _write(df: DataFrame, path: str, by: str | None = None) -> None:
     write(df, path, **({"partitionBy": by} if by else {}))
 
@@ -78,7 +89,8 @@ class Index:
     version: int
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/version={self.version}/{name}")
+        schema = _META if name == "meta" else _schemas(self.meta["id_type"])[name]
+        return self.spark.read.schema(schema).parquet(f"{self.path}/version={self.version}/{name}")
 
     @cached_property
     def meta(self) -> dict:

@@ -49,3 +49,9 @@ def stored_index(spark: SparkSession, sf_dir: str) -> Index:
     if key not in _built:
         _built[key] = build_index(documents(spark, sf_dir), new_path(spark, "index"), false_positives=FALSE_POSITIVES)
     return _built[key]
+
+
+def forget() -> None:
+    """The next query builds anew."""
+    _built.clear()
+    _patterns.clear()

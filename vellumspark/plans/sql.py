@@ -14,7 +14,7 @@ def WORDS(x: str) -> str:  # noqa: N802
 
 
 def KEPT(x: str) -> str:  # noqa: N802
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
     return f"list_filter({WORDS(x)}, lambda t: t NOT IN ({stop}))"
 
 

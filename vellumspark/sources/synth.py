@@ -36,7 +36,7 @@ def uniform_queries(spark: SparkSession, n: int, words: int = 3, seed: int = 43)
     return spark.range(n).select(F.col("id").alias("query_id"), F.array_join(picked, " ").alias("query"))
 
 
-def vocabulary(spark: SparkSession, size: int, exponent: float = 1.5, seed: int = 44) -> DataFrame:
+def vocabulary(spark: SparkSession, size: int, seed: int = 44) -> DataFrame:
     """``rank, word``: words for ranks of a Zipf law; which rank is drawn follows from the law's inverse, see ``zipf_rank``."""
     return spark.range(1, size + 1).select(F.col("id").alias("rank"), _word(seed, F.col("id")).alias("word"))
 
