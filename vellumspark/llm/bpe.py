@@ -32,11 +32,29 @@ from .common import columns, materialize, shuffle_partitions, table
 CHUNK, OVERLAP = 16_384, 1_024
 #: Boundaries this near to a chunk's end may be the cut's doing: the last match, and white space before it.
 UNSURE = 3
-#: Pre-tokens that a worker keeps encoded; when full, the table starts anew.
+#: Pre-tokens that a worker keeps encoded, in each of two tables: when the newer is full it becomes the older, from which those in use return.
 CACHE = 150_000
+#: Pre-tokens of up to so many bytes are merged by scanning.
+SHORT = 32
 OUT_ROWS = 256
 
 
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """``merge`` by scanning all pairs, which is faster where there are few."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    rank, none = ranks.get, len(ranks) + 1
+    pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], none)
+    return [ranks[p] for p in parts]
+
+
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -51,6 +69,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT:
+        return _merge_short(piece, ranks)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     live = [True] * n
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -125,12 +145,13 @@ class Known(dict):
     """The ids of pre-tokens; those seen before come from a bounded table, the others are merged when they are asked for."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> list[int]:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        ids = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
+        ids = self.older.get(piece) or merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
