@@ -345,6 +345,14 @@ def test_bpe_boundaries_by_length(tools):
                 assert coder.decode(coder.encode_range(text, sizes, lo, hi)).decode() == text[lo:hi]
 
 
+def test_bpe_merge_as_the_library(tools):
+    theirs, ours = tools
+    rnd = random.Random(9)
+    for _ in range(4000):
+        piece = "".join(rnd.choices(ALPHABET, k=rnd.randint(1, 30))).encode()
+        assert bpe.merge(piece, ours.ranks) == theirs._encode_single_piece(piece)
+
+
 def test_bpe_long_pieces(tools):
     theirs, ours = tools
     for text in ("a" * 20_000, "ab" * 9_000, "\n" * 5_000, "漢" * 3_000):

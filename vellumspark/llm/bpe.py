@@ -23,6 +23,7 @@ from itertools import accumulate, chain
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,27 +35,11 @@ CHUNK, OVERLAP = 16_384, 1_024
 UNSURE = 3
 #: Pre-tokens that a worker keeps encoded, in each of two tables: when the newer is full it becomes the older, from which those in use return.
 CACHE = 150_000
-#: Pre-tokens of up to so many bytes are merged by scanning.
+#: Pre-tokens of up to so many bytes are merged by the tokenizer library's own merge of one piece.
 SHORT = 32
 OUT_ROWS = 256
 
 
-def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """``merge`` by scanning all pairs, which is faster where there are few."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    rank, none = ranks.get, len(ranks) + 1
-    pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
-    while pairs and (least := min(pairs)) < none:
-        i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
-        if i < len(pairs):
-            pairs[i] = rank(parts[i] + parts[i + 1], none)
-    return [ranks[p] for p in parts]
-
-
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -69,8 +54,6 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
-    if n <= SHORT:
-        return _merge_short(piece, ranks)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     live = [True] * n
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -144,14 +127,19 @@ def stitch(chunks: Iterable[tuple[int, str]], find) -> Iterator[str]:
 class Known(dict):
     """The ids of pre-tokens; those seen before come from a bounded table, the others are merged when they are asked for."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.older = ranks, {}
+        # Merging one short pre-token is the same work as ``merge``, compiled; long ones keep to ``merge``, whose cost is bounded.
+        self.merge_short = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def __missing__(self, piece: str) -> list[int]:
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
-        ids = self.older.get(piece) or merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            ids = self.merge_short(raw) if len(raw) <= SHORT else merge(raw, self.ranks)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -165,7 +153,7 @@ class Coder:
         self.findall = regex.compile(pattern).findall
         self.raw = {v: k for k, v in ranks.items()}
         self.decimal = {v: str(v) for v in self.raw}
-        self.known = Known(ranks)
+        self.known = Known(ranks, pattern)
 
     def encode_piece(self, text: str) -> list[int]:
         """The ids of a text that begins and ends at true boundaries."""
