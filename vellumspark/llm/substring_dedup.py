@@ -31,7 +31,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import input_bytes
 from .bytehash import Ranges, mix
 from .common import columns, materialize, numbered, shuffle_partitions, table, unique_ids
 from .suffix_array import suffix_array
@@ -44,7 +43,7 @@ HALF = (LENGTH - K) // 2
 SYMBOLS = LENGTH - K - HALF + 1
 #: Bytes of text that are hashed together, and symbols that are sorted together unless one group has more.
 GROUP_BYTES, SORT_SYMBOLS = 1 << 20, 1 << 17
-#: Bytes of input a bucket at most, on average: a worker holds one bucket's texts at a time, whatever the size of the corpus.
+#: Bytes of text a bucket at most, on average: a worker holds one bucket's texts at a time, whatever the size of the corpus.
 BUCKET_BYTES = 16 << 20
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -335,7 +334,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = columns(docs, doc_id=doc_id, text=text, **{f"carried_{k}": c for k, c in enumerate(carried)})
     spark = docs.sparkSession
     kind = rows.schema["doc_id"].dataType.simpleString()
-    n = max(2 * shuffle_partitions(spark), -(-input_bytes(docs) // BUCKET_BYTES))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(2 * shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     if kind in ("tinyint", "smallint", "int", "bigint") and unique_ids(rows):
         rows = rows.withColumn("row_no", F.col("doc_id").cast("long"))
     else:
