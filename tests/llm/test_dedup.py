@@ -195,3 +195,22 @@ def test_a_frequent_line_in_many_texts(spark):
     docs = list(enumerate(texts))
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: w[1:3] for i, w in brute_cut(docs).items()}
+
+
+def test_frequent_middle_parts_are_split(spark, monkeypatch):
+    """With thresholds so low that all steps run: the bytes are those of brute force all the same."""
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choices("ab ", k=n))
+    lines = [noise(n) for n in (66, 80, 92, 97, 99)]
+    texts = [noise(rnd.randint(0, 60)) + rnd.choice(["", " ", "b"]) + rnd.choice(lines) + rnd.choice(["", "a", "ab", "b a"]) + noise(rnd.randint(0, 60)) for _ in range(600)] + corpus(3)
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    steps = []
+    real = substring_dedup._split_frequent
+    monkeypatch.setattr(substring_dedup, "MANY_RUNS", 1)
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 3)
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(substring_dedup, "_split_frequent", lambda frequent, rest, into, n: steps.append((rest, into)) or real(frequent, rest, into, n))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == {i: w[:4] for i, w in brute_cut(docs).items()}
+    assert steps == [(34, 4), (4, 0)]

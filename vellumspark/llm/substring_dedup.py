@@ -4,13 +4,15 @@ A suffix array of a whole corpus does not fit one machine, so the corpus is firs
 sorting decides anything:
 
 1. Each window of LENGTH bytes is assigned to its least K-gram by hash. Equal windows have the same one at the same offset, so only
-   windows of equal K-grams can be equal. Runs of windows with one K-gram are dealt by its hash, packed, after each task
-   has kept the first of its equal runs; a frequent K-gram thus sends one run a text and task at most.
+   windows of equal K-grams can be equal. Runs of windows with one K-gram are dealt by its hash, packed, after each
+   batch has kept the first of its equal runs. A K-gram with more than ``MANY_RUNS`` different runs in a batch sends a flag
+   alone to its bucket; its runs are dealt by their own bytes as well.
 2. Of runs with equal K-gram and equal bytes all but the first are removed as a whole. Runs that share
    their K-gram with different runs are kept once each: only here can windows be equal in part.
 3. Those runs' bytes are fetched and dealt by the middle part that any equal windows of theirs must share. That part
    becomes one symbol, the rests hang on it left and right, and suffix arrays (linear grouping on Lyndon prefixes) put equal
-   windows next to each other; of each group all but the first window are removed.
+   windows next to each other; of each group all but the first window are removed. What hangs on a frequent middle part is
+   first split by longer ones (``FINER``), the longest being whole windows, so that no task gets one part's places all together.
 4. Removed ranges are joined with the texts, united and cut out.
 
 Earlier is a smaller doc_id, or the same document and an earlier start; all is judged on the input. Runs are told apart
@@ -39,10 +41,15 @@ LENGTH = 100
 #: Bytes of a K-gram. What equal windows share on one side of it is (LENGTH - K) / 2 at least.
 K = 32
 HALF = (LENGTH - K) // 2
-#: Symbols of a window when its middle part is one of them.
-SYMBOLS = LENGTH - K - HALF + 1
 #: Bytes of text that are hashed together, and symbols that are sorted together unless one group has more.
 GROUP_BYTES, SORT_SYMBOLS = 1 << 20, 1 << 17
+#: Different runs of one K-gram in a batch of texts from which they are dealt by their bytes.
+MANY_RUNS = 16
+#: Bytes left and right of the middle part at each step, which is split into the next: 35 windows, then 5, then 1.
+FINER = (HALF, 4, 0)
+#: A middle part is frequent from so many pieces on; MAX_FREQUENT of them at most are split, the most frequent ones. One piece in
+#: SAMPLE, by hash, is counted for that, which decides how the work is dealt but not what is found.
+FREQUENT, MAX_FREQUENT, SAMPLE = 4096, 100_000, 16
 #: Bytes of text a bucket at most, on average: a worker holds one bucket's texts at a time, whatever the size of the corpus.
 BUCKET_BYTES = 16 << 20
 
@@ -147,7 +154,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 _BLOB = "bucket int, kind string, blob binary"
 
 
-def _find_runs(buckets: int):
+def _find_runs(buckets: int, many: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
@@ -157,7 +164,18 @@ def _find_runs(buckets: int):
                 continue
             runs, same = first_runs(runs)
             b = _bucket(runs["gram"], buckets)
-            yield _batch_of([("run", *_blobs(b[~same], runs[~same], buckets)), ("mark", *_blobs(b[same], _marks(runs[same]), buckets))])
+            left, at = runs[~same], b[~same]
+            _, opens, of, count = np.unique(left["gram"], return_index=True, return_inverse=True, return_counts=True)
+            often = count[of] > many
+            flags = opens[count > many]
+            yield _batch_of(
+                [
+                    ("run", *_blobs(at[~often], left[~often], buckets)),
+                    ("dealt", *_blobs(_bucket(left["gram"][often] ^ left["body"][often], buckets), left[often], buckets)),
+                    ("flag", *_blobs(at[flags], left["gram"][flags], buckets)),
+                    ("mark", *_blobs(b[same], _marks(runs[same]), buckets)),
+                ]
+            )
 
     return run
 
@@ -171,15 +189,19 @@ def _table_of(kinds) -> pa.Table:
 
 
 def _settle_runs(buckets: int):
-    """All runs of a K-gram: others of equal ones become marks, and first ones beside different ones requests."""
+    """All runs of a K-gram: others of equal ones become marks, and first ones beside different ones requests.
+
+    A run that is dealt by its bytes has different ones beside it, and so has each run of a flagged K-gram.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         runs, same = first_runs(_joined(table, "run", RUN))
-        marks = np.concatenate([_joined(table, "mark", MARK), _marks(runs[same])])
+        dealt, again = first_runs(_joined(table, "dealt", RUN))
+        marks = np.concatenate([_joined(table, "mark", MARK), _marks(runs[same]), _marks(dealt[again])])
         left = runs[~same]
         near = np.zeros(len(left) + 1, bool)
         near[1:-1] = left["gram"][1:] == left["gram"][:-1]
-        asked = left[near[:-1] | near[1:]]
+        asked = np.concatenate([left[near[:-1] | near[1:] | np.isin(left["gram"], _joined(table, "flag", np.dtype("<u8")))], dealt[~again]])
         requests = np.zeros(len(asked), REQUEST)
         for name in REQUEST.names:
             requests[name] = asked[name]
@@ -230,9 +252,51 @@ def _fetch(buckets: int):
     return run
 
 
-def later_windows(pieces: np.ndarray) -> np.ndarray:
+def finer_pieces(pieces: np.ndarray, rest: int, into: int) -> np.ndarray:
+    """PIECE rows for the windows of ``pieces`` under longer middle parts, which leave ``into`` bytes of ``rest`` left and right.
+
+    A window has between 0 and ``rest`` bytes left of the middle part. Those with g * (into + 1) to g * (into + 1) + into share
+    the first of them and what all have on the right: that is the longer middle part.
+    """
+    data = np.ascontiguousarray(pieces["text"]).ravel()
+    ranges = Ranges(data)
+    base = np.arange(len(pieces), dtype=np.int64) * (2 * HALF)
+    left, right = pieces["left"].astype(np.int64), pieces["right"].astype(np.int64)
+    out = []
+    for low in range(0, rest + 1, into + 1):
+        # Windows by their bytes on the left, from few to many.
+        few, most = np.maximum(low, rest - right), np.minimum(low + into, left)
+        ok = np.flatnonzero(most >= few)
+        if not len(ok):
+            continue
+        few, most, more = few[ok], most[ok], rest - low - into
+        middle = base[ok] + left[ok]
+        rows = np.zeros(len(ok), PIECE)
+        mixed = pieces["key"][ok] + ranges(middle - low, middle) * np.uint64(0xC2B2AE3D27D4EB4F) + ranges(middle, middle + more) * np.uint64(0x9E3779B97F4A7C15)
+        rows["key"] = mix(mixed + np.uint64(low + 1))
+        rows["doc"], rows["at"] = pieces["doc"][ok], pieces["at"][ok] + (left[ok] - most)
+        rows["left"], rows["right"] = most - low, low + into - few
+        cols = np.arange(2 * HALF)
+        before, both = (most - low)[:, None], (most - few + into)[:, None]
+        source = np.where(cols < before, (middle - most)[:, None] + cols, (middle + more)[:, None] + cols - before)
+        rows["text"] = np.where(cols < both, data[np.minimum(source, len(data) - 1)], 0)
+        out.append(rows)
+    return np.concatenate(out) if out else np.zeros(0, PIECE)
+
+
+def first_pieces(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first piece of each middle part that is a whole window, and MARK rows of the others."""
+    pieces = pieces[np.lexsort((pieces["at"], pieces["doc"], pieces["key"]))]
+    again = np.zeros(len(pieces), bool)
+    again[1:] = pieces["key"][1:] == pieces["key"][:-1]
+    marks = np.zeros(int(again.sum()), MARK)
+    marks["doc"], marks["at"], marks["n"] = pieces["doc"][again], pieces["at"][again], LENGTH
+    return pieces[~again], marks
+
+
+def later_windows(pieces: np.ndarray, rest: int = HALF) -> np.ndarray:
     """MARK rows of the windows of ``pieces`` (sorted by key) that an earlier window equals, from one suffix array."""
-    n = len(pieces)
+    n, width = len(pieces), rest + 1
     new = np.ones(n, bool)
     new[1:] = pieces["key"][1:] != pieces["key"][:-1]
     key = np.cumsum(new)
@@ -249,12 +313,12 @@ def later_windows(pieces: np.ndarray) -> np.ndarray:
     symbols[begin[:-1] + left] = key + 1
     array = np.asarray(suffix_array(symbols.tolist()), np.int64)
     # Windows start at a piece's first symbols, as many as there are rests to shift over.
-    count = left + right - SYMBOLS + 2
+    count = left + right - width + 2
     starts = np.repeat(begin[:-1], count) + np.concatenate([np.arange(c) for c in count])
     owner = np.full(len(symbols), -1, np.int64)
     owner[starts] = np.repeat(np.arange(n), count)
     array = array[owner[array] >= 0]
-    views = np.lib.stride_tricks.sliding_window_view(symbols, SYMBOLS)
+    views = np.lib.stride_tricks.sliding_window_view(symbols, width)
     rows = views[array]
     fresh = np.ones(len(array), bool)
     fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
@@ -269,9 +333,67 @@ def later_windows(pieces: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sort_pieces(buckets: int):
+def _count_keys(sample: int):
+    """``key, c``: how many pieces of a sample by hash each middle part has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                pieces = np.frombuffer(blob, PIECE)
+                drawn = mix(pieces["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pieces["at"]) % np.uint64(sample) == 0
+                keys, c = np.unique(pieces["key"][drawn].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c, pa.int64())], names=["key", "c"])
+
+    return run
+
+
+def _frequent(pieces: DataFrame) -> np.ndarray:
+    """The middle parts with more than about FREQUENT pieces: MAX_FREQUENT at most."""
+    counts = pieces.select("blob").mapInArrow(_count_keys(SAMPLE), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    found = counts.filter(F.col("c") * SAMPLE > FREQUENT).orderBy(F.desc("c"), "key").limit(MAX_FREQUENT).select("key").toPandas()
+    return np.sort(found["key"].to_numpy(np.int64).view(np.uint64))
+
+
+def _split_frequent(frequent: np.ndarray, rest: int, into: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pieces = np.frombuffer(blob, PIECE)
+                often = np.isin(pieces["key"], frequent)
+                kinds = [("piece", np.array([bucket], np.int32), [pieces[~often].tobytes()])] if not often.all() else []
+                if often.any():
+                    finer, marks = finer_pieces(pieces[often], rest, into), np.zeros(0, MARK)
+                    if not into:
+                        finer, marks = first_pieces(finer)
+                    kinds += [("finer", *_blobs(_bucket(finer["key"], buckets), finer, buckets)), ("mark", *_blobs(_bucket(marks["doc"], buckets), marks, buckets))]
+                yield _batch_of(kinds)
+
+    return run
+
+
+def _later(pieces: DataFrame, buckets: int) -> list[DataFrame]:
+    """Tables of marks: the windows of all pieces that earlier ones equal."""
+    found = []
+    for rest, into in zip(FINER, (*FINER[1:], None), strict=True):
+        finer = None
+        frequent = _frequent(pieces) if rest else ()
+        if len(frequent):
+            parts = materialize(pieces.select("bucket", "blob").mapInArrow(_split_frequent(frequent, rest, into, buckets), _BLOB), compression="zstd")
+            found.append(parts.filter("kind = 'mark'"))
+            pieces, finer = parts.filter("kind = 'piece'"), parts.filter("kind = 'finer'").withColumn("kind", F.lit("piece"))
+        found.append(materialize(pieces.groupBy("bucket").applyInArrow(_sort_pieces(buckets, rest), _BLOB), compression="zstd"))
+        if finer is None:
+            break
+        pieces = finer
+    return found
+
+
+def _sort_pieces(buckets: int, rest: int):
     def run(table: pa.Table) -> pa.Table:
         pieces = _joined(table, "piece", PIECE)
+        if not rest:
+            marks = first_pieces(pieces)[1]
+            return _table_of([("mark", *_blobs(_bucket(marks["doc"], buckets), marks, buckets))])
         pieces = pieces[np.argsort(pieces["key"], kind="stable")]
         near = np.zeros(len(pieces) + 1, bool)
         near[1:-1] = pieces["key"][1:] == pieces["key"][:-1]
@@ -281,7 +403,7 @@ def _sort_pieces(buckets: int):
         ends = np.append(np.flatnonzero(pieces["key"][1:] != pieces["key"][:-1]) + 1, len(pieces)) if len(pieces) else []
         for k, end in enumerate(ends):
             if end == len(pieces) or total[ends[k + 1]] - total[at] > SORT_SYMBOLS:
-                found.append(later_windows(pieces[at:end]))
+                found.append(later_windows(pieces[at:end], rest))
                 at = end
         marks = np.concatenate(found) if found else np.zeros(0, MARK)
         return _table_of([("mark", *_blobs(_bucket(marks["doc"], buckets), marks, buckets))])
@@ -340,16 +462,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows = rows.withColumn("row_no", F.col("doc_id").cast("long"))
     else:
         rows = numbered(rows)
-    runs = rows.select("row_no", "text").mapInArrow(_find_runs(n), _BLOB)
+    runs = rows.select("row_no", "text").mapInArrow(_find_runs(n, MANY_RUNS), _BLOB)
     settled = materialize(runs.groupBy("bucket").applyInArrow(_settle_runs(n), _BLOB), compression="zstd")
     # The same bucket as _bucket() of a document, so that a group of texts meets the group of its blobs.
     extra = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns if c.startswith("carried_"))
     rows = rows.select("doc_id", "text", "row_no", *[c for c in rows.columns if c.startswith("carried_")])
     placed = rows.mapInArrow(_place(n), f"doc_id {kind}, text string, row_no long{extra}, bucket int")
     asked = settled.filter("kind = 'request'")
-    pieces = placed.select("row_no", "text", "bucket").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch(n), _BLOB)
-    later = materialize(pieces.groupBy("bucket").applyInArrow(_sort_pieces(n), _BLOB), compression="zstd")
-    marks = settled.filter("kind = 'mark'").unionByName(later)
+    pieces = materialize(placed.select("row_no", "text", "bucket").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch(n), _BLOB), compression="zstd")
+    marks = settled.filter("kind = 'mark'")
+    for later in _later(pieces, n):
+        marks = marks.unionByName(later)
     tail = ", kept_text string" if keep_text else ""
     cut = placed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_cut(keep_text), f"doc_id {kind}{extra}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{tail}")
     facts = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text
