@@ -173,7 +173,7 @@ def _find_runs(buckets: int, many: int):
                     ("run", *_blobs(at[~often], left[~often], buckets)),
                     ("dealt", *_blobs(_bucket(left["gram"][often] ^ left["body"][often], buckets), left[often], buckets)),
                     ("flag", *_blobs(at[flags], left["gram"][flags], buckets)),
-                    ("mark", *_blobs(b[same], _marks(runs[same]), buckets)),
+                    ("mark", *_blobs(_bucket(runs["doc"][same], buckets), _marks(runs[same]), buckets)),
                 ]
             )
 
@@ -191,7 +191,8 @@ def _table_of(kinds) -> pa.Table:
 def _settle_runs(buckets: int):
     """All runs of a K-gram: others of equal ones become marks, and first ones beside different ones requests.
 
-    A run that is dealt by its bytes has different ones beside it, and so has each run of a flagged K-gram.
+    A run that is dealt by its bytes has different ones beside it, and so has each run of a flagged K-gram. Marks of the batches lie in their
+    documents' buckets, since a frequent passage has as many as texts, and pass through.
     """
 
     def run(table: pa.Table) -> pa.Table:
