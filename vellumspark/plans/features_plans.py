@@ -27,7 +27,7 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = features.character_entropy(features.token_counts(documents(spark, sf_dir), "doc_id"))
+    e = features.text_entropy(documents(spark, sf_dir), "doc_id")
     return e.select(F.col("key").alias("doc_id"), F.round("entropy", 6).alias("entropy"))
 
 
