@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, without_stop_words
 from ..operators import access, features, pattern
+from ..sources.storage import materialize
 from ..sources.tables import documents, table
-from .indexes import stored_patterns
+from .indexes import stored_patterns, stored_signatures
 from .sql import COS, COUNTS, KEPT, LOG, QCOUNTS, VOCAB, chunks, equal_share, h, patterns, top
 
 SHARDS = 100
@@ -52,27 +53,26 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signature_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_patterns(spark, sf_dir).documents.select(F.col("key").alias("doc_id"), "c0", "c1", "c2", "c3")
+    return stored_signatures(spark, sf_dir)[0].select(F.col("key").alias("doc_id"), "c0", "c1", "c2", "c3")
 
 
 def signature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = stored_patterns(spark, sf_dir)
-    return pattern.signature_search(stored.documents, stored.queries)
+    return pattern.signature_search(*stored_signatures(spark, sf_dir))
 
 
 def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stored_patterns(spark, sf_dir).documents
+    s = stored_signatures(spark, sf_dir)[0]
     return s.select(F.col("key").alias("doc_id"), pattern.shard_of([F.col(f"c{i}") for i in range(4)], SHARDS).alias("shard_id"))
 
 
 def trie_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents a walk reaches for each query."""
-    stored = stored_patterns(spark, sf_dir)
-    return pattern.visits(stored.documents, stored.queries)
+    return pattern.visits(*stored_signatures(spark, sf_dir))
 
 
 def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.counts(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id").select(F.col("user_id").alias("key"), "access_count")
+    """Written, so that joins know its size: the documents' features then stay where they lie if it is small."""
+    return materialize(access.counts(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id").select(F.col("user_id").alias("key"), "access_count"))
 
 
 def shard_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
