@@ -34,13 +34,16 @@ def half_up(x: np.ndarray, digits: int = 6) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * 10**digits + 0.5) / 10**digits
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k highest scores and of those equal to the last of them."""
+def _best(scores: np.ndarray, k: int, order: np.ndarray) -> np.ndarray:
+    """Indices of the k highest scores; of those equal to the last of them, the lowest by ``order``, the keys' places when sorted."""
     valid = np.flatnonzero(~np.isnan(scores))
     if len(valid) <= k:
         return valid
     x = scores[valid]
-    return valid[x >= np.partition(x, len(x) - k)[len(x) - k]]
+    last = np.partition(x, len(x) - k)[len(x) - k]
+    above, ties = valid[x > last], valid[x == last]
+    left = k - len(above)
+    return np.concatenate([above, ties if len(ties) <= left else ties[np.argpartition(order[ties], left - 1)[:left]]])
 
 
 def _keep(k: int, queries: int, score: Score):
@@ -53,9 +56,11 @@ def _keep(k: int, queries: int, score: Score):
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 scores, others = score(part)
-                scores, keys = half_up(scores), part.column(0)
+                scores, keys = np.asfortranarray(half_up(scores)), part.column(0)
+                order = np.empty(len(keys), np.int64)
+                order[pc.array_sort_indices(keys).to_numpy()] = np.arange(len(keys))
                 for q in range(queries):
-                    rows = _best(scores[:, q], k)
+                    rows = _best(scores[:, q], k, order)
                     if len(rows):
                         found[q] += [(-scores[i, q], keys[int(i)].as_py(), *(o[i, q] for o in others)) for i in rows]
                         if len(found[q]) > 4 * k:

@@ -124,7 +124,8 @@ def pattern_search(
     others = ("pattern_match", "access_count")
     found = blocks.best_of(d.select(*_PATTERN, *_CHUNKS, "access_count"), blocks.query_blocks(q.select(*_PATTERN, *_CHUNKS), "key", MAX_QUERIES), scorer, k, others)
     out = _named(found, "doc_id", others).withColumns({"pattern_match": F.round("pattern_match", 6), "access_count": F.col("access_count").cast("bigint")})
-    return out if content is None else out.join(content.select(F.col("key").alias("doc_id"), "content"), "doc_id").select(*out.columns, "content")
+    # The found rows are k a query at most, and the queries have been on the driver: the texts stay where they lie.
+    return out if content is None else content.select(F.col("key").alias("doc_id"), "content").join(F.broadcast(out), "doc_id").select(*out.columns, "content")
 
 
 def signature_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
