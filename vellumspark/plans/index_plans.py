@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import terms
 from ..operators import bloom, index, ring, search
 from ..sources.tables import documents, query_log, table
-from .indexes import stored_index
+from .indexes import stored_index, stored_terms
 from .sql import ASKED, CAP, DF, LOG, TERMS, TOK, h
 
 FALSE_POSITIVES, SUB_SHARDS = 0.01, 4
@@ -57,7 +57,7 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bloom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = stored_index(spark, sf_dir).terms.agg(F.count(F.lit(1)).alias("n"))
+    n = stored_terms(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
     rates = n.select("n", F.explode(F.array(*[F.lit(p) for p in (0.1, 0.05, 0.025, 0.0125, 0.01)])).alias("p"))
     bits, hashes = bloom.size_columns(F.col("n").cast("double"), F.col("p"))
     return rates.select("n", "p", bits.alias("bits"), hashes.alias("hashes"))
@@ -65,8 +65,8 @@ def bloom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _distinct(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """The distinct terms and their number, by which filters are sized."""
-    stored = stored_index(spark, sf_dir)
-    return stored.terms.select("term"), stored.meta["terms"]
+    known = stored_terms(spark, sf_dir).select("term")
+    return known, known.count()
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
