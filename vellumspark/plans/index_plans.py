@@ -101,11 +101,11 @@ def ring_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ring_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ring.lookup(_distinct(spark, sf_dir)[0], ring.ring(spark, SHARDS))
+    return ring.lookup(stored_terms(spark, sf_dir).select("term"), ring.ring(spark, SHARDS))
 
 
 def shard_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = ring.lookup(stored_index(spark, sf_dir).terms.select("term", "df"), ring.ring(spark, SHARDS))
+    placed = ring.lookup(stored_terms(spark, sf_dir), ring.ring(spark, SHARDS))
     return placed.groupBy("shard_id").agg(F.sum("df").alias("n_terms"))
 
 
