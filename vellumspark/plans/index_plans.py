@@ -41,9 +41,10 @@ def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = index.term_table(documents(spark, sf_dir))
-    placed = index.with_shard(pairs, SHARDS, bloom.bloom_shard(F.col("term"), SHARDS))
-    return placed.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_postings"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    """Terms are counted before they are placed, so that no task takes the postings of a whole shard."""
+    frequencies = index.document_frequency(index.term_table(documents(spark, sf_dir)))
+    placed = index.with_shard(frequencies, SHARDS, bloom.bloom_shard(F.col("term"), SHARDS))
+    return placed.groupBy("shard_id").agg(F.sum("df").alias("n_postings"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
 
 def live_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
