@@ -134,6 +134,34 @@ def weights(column: pa.Array, terms: pa.Array) -> np.ndarray:
     return out
 
 
+def shared(asked: pa.Array | pa.ChunkedArray, weight: Callable[[pa.Array], np.ndarray] | None = None) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """From a column of sets of words to two (rows, asked) matrices: how many words a row shares with each asked set, and the sum of those words' weights.
+
+    Only the words that a row shares with a set are visited.
+    """
+    asked = asked.combine_chunks() if isinstance(asked, pa.ChunkedArray) else asked
+    size = len(asked)
+    coded = asked.flatten().cast(pa.string()).dictionary_encode()
+    terms, codes = coded.dictionary, coded.indices.to_numpy()
+    owner = np.repeat(np.arange(size), pc.list_value_length(asked).to_numpy(zero_copy_only=False))[np.argsort(codes, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(terms)))])
+    w = np.ones(len(terms)) if weight is None else weight(terms)
+
+    def run(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        code = pc.fill_null(pc.index_in(sets.flatten().cast(pa.string()), value_set=terms), -1).to_numpy(zero_copy_only=False)
+        known = code >= 0
+        row, code = np.repeat(np.arange(len(sets)), pc.list_value_length(sets).to_numpy(zero_copy_only=False))[known], code[known]
+        n = starts[code + 1] - starts[code]
+        ends = np.cumsum(n)
+        at = np.repeat(starts[code] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        cell = np.repeat(row, n) * size + owner[at]
+        shape = (len(sets), size)
+        counts = np.bincount(cell, minlength=len(sets) * size).reshape(shape)
+        return counts, counts if weight is None else np.bincount(cell, np.repeat(w[code], n), len(sets) * size).reshape(shape)
+
+    return run
+
+
 def words(batch: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
     """Columns of 32-bit words as a (rows, columns) matrix."""
     return np.stack([np.asarray(batch.column(n).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(n).to_numpy()).astype(np.uint32) for n in names], axis=1)
