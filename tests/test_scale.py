@@ -130,6 +130,14 @@ def test_f11_uncapped_search_shuffles_no_postings(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, stored.collect())) and "Generate" not in plan(df)
 
 
+def test_f12_jaccard_makes_no_row_of_a_pair(spark):
+    docs = spark.createDataFrame([(0, "a b"), (1, "b c"), (2, ""), (3, "a")], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a a b"), (1, "zz")], "query_id long, query string")
+    df = search.jaccard(docs, asked, k=3)
+    assert "Generate" not in plan(df)
+    assert sorted(map(tuple, df.collect())) == [(0, 0, 1.0, 1), (0, 1, 0.333333, 3), (0, 3, 0.5, 2), (1, 0, 0.0, 1), (1, 1, 0.0, 2), (1, 2, 0.0, 3)]
+
+
 def test_shared_words():
     met = blocks.shared(pa.array([["a", "b"], [], ["b"]]), lambda terms: pa.array([{"a": 2.0, "b": 0.5}[t] for t in terms.to_pylist()]).to_numpy())
     counts, sums = met(pa.array([["b", "x", "a"], [], ["b"]]))
