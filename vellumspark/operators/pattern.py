@@ -27,8 +27,8 @@ def signatures(pattern: DataFrame) -> DataFrame:
 
 
 def with_signatures(pattern: DataFrame) -> DataFrame:
-    """``pattern`` with the columns of ``signatures``."""
-    return pattern.withColumns(dict(zip(_CHUNKS, signature_words(F.col("canonical")), strict=True)))
+    """``pattern`` with the columns of ``signatures``, which ``features`` has written already."""
+    return pattern if "c0" in pattern.columns else pattern.withColumns(dict(zip(_CHUNKS, signature_words(F.col("canonical")), strict=True)))
 
 
 def shard_of(chunks: list[Column], shards: int) -> Column:
@@ -99,7 +99,7 @@ def pattern_search(
     ``docs`` and ``queries`` are ``patterns`` rows, with or without their signatures; ``access`` has ``key, access_count``. All shards are
     searched unless ``shards`` (shard_id, of ``rank_shards``) names some of ``shard_count``. ``content`` (key, content) adds the found texts.
     """
-    d, q = (x if "c0" in x.columns else with_signatures(x) for x in (docs, queries))
+    d, q = with_signatures(docs), with_signatures(queries)
     if shards is not None:
         # rank_shards gives max(3, shards / 10) rows at most.
         d = d.withColumn("shard_id", shard_of([F.col(c) for c in _CHUNKS], shard_count)).join(F.broadcast(shards.select("shard_id")), "shard_id", "left_semi")
