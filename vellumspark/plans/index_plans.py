@@ -31,7 +31,7 @@ def postings_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.document_frequency(index.term_table(documents(spark, sf_dir)))
+    return index.term_frequency(documents(spark, sf_dir))
 
 
 def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms are counted before they are placed, so that no task takes the postings of a whole shard."""
-    frequencies = index.document_frequency(index.term_table(documents(spark, sf_dir)))
+    frequencies = index.term_frequency(documents(spark, sf_dir))
     placed = index.with_shard(frequencies, SHARDS, bloom.bloom_shard(F.col("term"), SHARDS))
     return placed.groupBy("shard_id").agg(F.sum("df").alias("n_postings"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
